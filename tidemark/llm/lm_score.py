@@ -11,8 +11,8 @@ scored, so that its copies of itself do not vouch for it:
 The count tables are relational: documents are dealt to chunks, each chunk sends its distinct n-grams
 with their counts to the partitions of the count table by the n-gram's hash, the counts are summed there,
 and the sums go back to the chunks that asked and are summed per document.  N-grams travel in sorted
-arrays, one row per chunk and partition, each once per chunk and not once per document, so a frequent
-n-gram weighs no more than a rare one.
+arrays of differences, one row per chunk and partition, each once per chunk and not once per document, so
+a frequent n-gram weighs no more than a rare one.
 
 Cases: a null or wordless text has n_words 0 and score 0; repeated rows are counted and scored each; an
 empty table gives an empty result.
@@ -88,6 +88,15 @@ class Chunk:
         return counts[inverse]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte place, so that high bytes, mostly zero, compress in the shuffle."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _cuts(grams: np.ndarray, buckets: int) -> np.ndarray:
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
@@ -98,18 +107,18 @@ def _lists(buckets: int):
         chunk = Chunk(docs.column("text").to_pylist())
         cuts, number = _cuts(chunk.grams, buckets), docs.column("chunk")[0].as_py()
         rows = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pa.table([[i for i, _, _ in rows], [number] * len(rows), [chunk.grams[a:b].tobytes() for _, a, b in rows], [chunk.counts[a:b].astype("<i4").tobytes() for _, a, b in rows]], schema=LISTS)
+        return pa.table([[i for i, _, _ in rows], [number] * len(rows), [_planes(np.diff(chunk.grams[a:b], prepend=np.uint64(0))) for _, a, b in rows], [_planes(chunk.counts[a:b]) for _, a, b in rows]], schema=LISTS)
 
     return run
 
 
 def _sums(lists: pa.Table) -> pa.Table:
-    grams = [np.frombuffer(x.as_py(), np.uint64) for x in lists.column("grams")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in lists.column("counts")])
+    grams = [np.cumsum(_numbers(x.as_py()), dtype=np.uint64) for x in lists.column("grams")]
+    counts = np.concatenate([_numbers(x.as_py()) for x in lists.column("counts")])
     _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(inverse, counts).astype(np.int64)[inverse]
     parts = np.split(totals, np.cumsum([len(x) for x in grams])[:-1])
-    return pa.table([lists.column("chunk"), lists.column("bucket"), [x.tobytes() for x in parts]], schema=TOTALS)
+    return pa.table([lists.column("chunk"), lists.column("bucket"), [_planes(x) for x in parts]], schema=TOTALS)
 
 
 def _scores(docs: pa.Table, totals: pa.Table) -> pa.Table:
@@ -117,7 +126,7 @@ def _scores(docs: pa.Table, totals: pa.Table) -> pa.Table:
         return SCORES.empty_table()
     chunk = Chunk(docs.column("text").to_pylist())
     parts = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist()))
-    sizes, means = chunk.scores(np.frombuffer(b"".join(p for _, p in parts), np.int64))
+    sizes, means = chunk.scores(np.concatenate([_numbers(p) for _, p in parts]).astype(np.int64))
     return pa.table([docs.column("doc_id"), sizes, means], schema=SCORES)
 
 
