@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,12 @@ from tidemark.llm.shared import small_text_batches
 MARK = "▁"  # the vocabulary's sign for a blank before a word
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> "Vocabulary":
+    """One vocabulary, and one table of known counts, for all tasks of a worker process."""
+    return Vocabulary(path)
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -43,6 +50,7 @@ class Vocabulary:
         for piece in self.cost:
             self.ends.setdefault(piece[-1], []).append(len(piece))
         self.ends = {c: sorted(set(n)) for c, n in self.ends.items()}
+        self.known: dict[bytes, int] = {}
 
 
 class SharedForward:
@@ -82,13 +90,13 @@ class SharedForward:
 
 def _count(path: str, cache_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = None, {}
+        model = vocabulary(path)
+        known = model.known
         for batch in batches:
-            vocabulary = vocabulary or Vocabulary(path)
             words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in batch.column(1).to_pylist()]
             if len(known) > cache_size:
-                known = {}
-            forward = SharedForward(vocabulary)
+                known.clear()
+            forward = SharedForward(model)
             for w in sorted({w for doc in words for w in doc if w not in known}):
                 known[w] = forward.tokens(MARK + w.decode("utf-8", "surrogatepass"))
             counts = [sum([known[w] for w in doc]) for doc in words]
@@ -97,7 +105,7 @@ def _count(path: str, cache_size: int):
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", cache_size: int = 1_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", cache_size: int = 400_000) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens); map-only, whole texts."""
     small_text_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
