@@ -5,8 +5,8 @@ ends (article, section, aside, ...) a gap of empty lines is left.  The text leng
 sliding windows of ``window`` lines; the distribution surges where the sum leaves zero and dives where
 it returns to zero.  Kept is what lies between the surge and the dive with the most text, and every
 other such stretch that holds at least ``share`` of the largest one.  Elements that by name, role or
-class are never main text (navigation, footers, adverts, comments, ...) are skipped while stripping,
-and link text counts only a tenth, so that link lists do not surge.
+class are never main text (navigation, footers, adverts, comments, ...) are skipped while stripping.
+Outside of articles link text has no length, so link lists do not surge; an article has no gaps within.
 
 Cases: a null or empty page gives an empty text; markup cut off at the end is closed there; unknown or
 broken entities stay as they are; repeated rows are extracted each.
@@ -73,12 +73,12 @@ def strip_markup(page: str, window: int) -> tuple[list[str], list[float]]:
     def flush(gap: bool) -> None:
         text = BLANKS.sub(" ", _html.unescape("".join(piece))).strip()
         if text:
-            links = len(BLANKS.sub(" ", "".join(linked)).strip())
+            links = 0 if in_article else len(BLANKS.sub(" ", "".join(linked)).strip())
             lines.append(text)
-            weights.append(max(len(text) - 0.9 * min(links, len(text)), 0.1))
+            weights.append(0.0 if links >= 0.8 * len(text) else float(len(text) - links))
         piece.clear()
         linked.clear()
-        if gap and lines and lines[-1]:
+        if gap and lines and lines[-1] and not in_article:
             lines.extend([""] * window)
             weights.extend([0.0] * window)
 
@@ -116,15 +116,18 @@ def strip_markup(page: str, window: int) -> tuple[list[str], list[float]]:
             continue
         boiler = not closing and not alone and (is_boilerplate(tag, attributes) or tag == "header" and not in_article)
         if tag in BLOCKS or boiler:
-            flush(tag in GAPS or boiler)
+            if tag in ("article", "main") and closing:
+                flush(False)
+                in_article = max(0, in_article - 1)
+            flush(tag in GAPS)
         elif tag == "br":
             piece.append(" ")
         if boiler:
             skip.append(tag)
         elif tag == "a":
             in_link = 0 if closing else 1
-        elif tag in ("article", "main"):
-            in_article = max(0, in_article + (-1 if closing else 1))
+        elif tag in ("article", "main") and not closing:
+            in_article += 1
     flush(False)
     return lines, weights
 
@@ -156,7 +159,12 @@ def main_text(page: str | None, window: int = 3, share: float = 0.34) -> str:
     if not found:
         return ""
     most = max(x[2] for x in found)
-    return "\n".join(line for a, b, size in found if size >= share * most for line in lines[a:b] if line)
+    kept = []
+    for a, b, size in found:
+        if size >= share * most:
+            filled = [i for i in range(a, b) if weights[i]]
+            kept += [line for line in lines[filled[0] : filled[-1] + 1] if line]
+    return "\n".join(kept)
 
 
 def _extract(window: int, share: float):
