@@ -52,7 +52,7 @@ def test_lake_and_star(spark, tmp_path):
         report = jobs.run_walk_forward(spark, gold, f"{root}/star", "v1", ["temperature_2m"], "temperature_2m", 6, 2, 4).first()
     assert report["rows"] == 2 * 11 * 2 and report["cells"] == 2 and report["skipped"] == 0
     groups = jobs._table(spark, f"{root}/star", "scored_groups")
-    assert groups.count() == 2 * 11 - 2 and {r["mse"] for r in groups.select("mse").collect()} == {2.5}
+    assert groups.count() == 2 * 11 and {r["mse"] for r in groups.select("mse").collect()} == {2.5}
     assert jobs.backfill(spark, f"{root}/star", "temperature_2m") == 0
 
 
