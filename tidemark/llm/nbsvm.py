@@ -3,8 +3,8 @@
 Features are indicators of n-grams in a hashed space: single words, and one to three neighbouring word
 shapes (character classes with runs collapsed; a word that repeats the one before is marked).  Class
 log-count ratios come from all labelled training rows; the indicators are scaled by them and a linear
-hinge-loss model is fitted by dual coordinate descent on at most ``max_fit_rows`` rows, the ones with the
-smallest hash of their id.  A logistic curve fitted to margins of other labelled rows turns margins into
+hinge-loss model is fitted by dual coordinate descent on at most ``max_fit_rows`` rows, drawn by a hash of
+their id.  A logistic curve fitted to margins of other labelled rows turns margins into
 scores from 0 to 1.
 
 Cases: a null or empty text has no features and gets the score of the bias; null labels are left out; an id
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import materialize, small_text_batches
 
 SPACE = 1 << 18
+#: Labels are broadcast up to this many rows of 12 bytes (about 64 MB as a hash table).
+MAX_BROADCAST_LABELS = 2_000_000
 
 
 def word_shape(word: str) -> str:
@@ -162,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     small_text_batches(docs.sparkSession)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
+    known = materialize(known, "nbsvm-labels")
+    small = known.count() <= MAX_BROADCAST_LABELS  # else texts are dealt to the labels by id
+    rows = texts.join(F.broadcast(known) if small else known, F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
     rows = materialize(rows.mapInArrow(_featurize(space), "doc_id long, label int, features array<int>"), "nbsvm-rows")
     counts = np.ones((2, space))  # add-one smoothing
     merged = rows.select("label", "features").mapInArrow(_class_counts(space), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -170,7 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         counts[0, r["f"]] += r["n0"]
         counts[1, r["f"]] += r["n1"]
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows).collect()  # the stated bound
+    total = rows.count()
+    share = int(min(1.0, max_fit_rows / max(total, 1)) * 2**32)
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share)
+    sample = sorted(drawn.limit(max_fit_rows).collect(), key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))  # the stated bound
     y = np.array([r["label"] for r in sample])
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5
