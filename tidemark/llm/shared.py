@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch for operators that hand whole texts to Python tasks.
 TEXT_BATCH_ROWS = 512
@@ -35,6 +36,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``_salt``, one of 64 numbers drawn from the columns ``by``: the shares of a hot key."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(64)).cast("int"))
+
+
+def salts_seen() -> Column:
+    """Aggregate of ``salted`` rows: the salts of a group, one bit each."""
+    return F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_salts")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """``salted`` rows beside the row of their group, of which ``groups`` holds one per key, with ``salts_seen``.
+
+    A join by the key alone would send all rows of a hot group to one task, and adaptive execution can't split
+    it where one side is an aggregate by that key.  Here each group's row goes to the salts that it has, so a
+    hot group is dealt over 64 tasks, and a rare key costs no more rows than it has itself.  Null keys meet.
+    """
+    seen = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda s: F.call_function("shiftright", F.col("_salts"), s).bitwiseAND(F.lit(1)) == 1)
+    dealt = groups.withColumn("_s", F.explode(seen)).drop("_salts").withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.col("_salt") == F.col("_s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(dealt, same).drop("_salt", "_s", *[f"_k_{k}" for k in keys])
+
+
 def small_text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small, unless the session has a setting of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
