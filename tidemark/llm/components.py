@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import join_groups, materialize, salted, salts_seen
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -18,14 +18,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round writes its edges to the shared folder.  A large-star step links every larger
     neighbour of a node to the smallest node around it, a small-star step does so for the smaller
     ones; the graph is done when every node points at its root.  A hub's edges are joined with one row
-    (its minimum), which adaptive execution splits when the hub is hot.
+    (its minimum); they are salted by the neighbour, so that no task gets them all.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "components")
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _stars(both).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = salted(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), salts_seen())
+        large = join_groups(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "components-large")
         m = _stars(large)
         small = large.join(m, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
