@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize, small_text_batches
+from tidemark.llm.shared import join_groups, materialize, salted, salts_seen, small_text_batches
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -70,14 +70,14 @@ def with_rules(measures: DataFrame, min_words: int = 50, max_repeat: int = 50, m
 
 
 def host_verdicts(judged: DataFrame, max_rate: float = 0.6, min_strength: float = 1.0, max_strength: float = 1e6) -> DataFrame:
-    """(host, n_docs, n_failed, fail_rate, host_rejected): failure rates shrunk with a beta prior.
+    """(host, n_docs, n_failed, fail_rate, host_rejected) of ``salted`` rows: failure rates shrunk with a beta prior.
 
     The prior's mean m and strength k come from the mean and variance of the hosts' raw rates,
     k = m (1 - m) / v - 1, kept within [min_strength, max_strength]; the shrunk rate of a host is
     (failed + m k) / (n + k).  Hosts are counted by partial aggregation, so a hot host is one row
     per task before the shuffle.
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed"))
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed"), salts_seen())
     rate = F.col("n_failed") / F.col("n_docs")
     row = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row of two numbers
     m, v = (row["m"] or 0.0), (row["v"] or 0.0)
@@ -90,10 +90,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     """Measures, base verdict and final verdict (``kept``) of every document.
 
     The measures (no texts) are written once and used twice: to judge the hosts and to be joined
-    with the verdicts.  The host table is left to adaptive execution: broadcast when it turns out
-    small, else a sort-merge join whose hot hosts are split.
+    with the verdicts.  Adaptive execution broadcasts the host table when it turns out small; else
+    both sides are joined by host and salt, so that a hot host is dealt over many tasks.
     """
-    judged = materialize(with_rules(measure(docs, doc_id, host, text)), "quality-measures")
-    hosts = host_verdicts(judged, max_rate).withColumnRenamed("host", "_host")
-    out = judged.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    judged = salted(materialize(with_rules(measure(docs, doc_id, host, text)), "quality-measures"), "doc_id", *MEASURES)
+    out = join_groups(judged, host_verdicts(judged, max_rate), "host")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
