@@ -20,6 +20,7 @@ from tidemark.llm.lm_score import lm_scores
 from tidemark.llm.nbsvm import quality_scores
 from tidemark.llm.packing import encoder, pack, subset_counts
 from tidemark.llm.quality_rules import measure_text, quality_rules
+from tidemark.llm.shared import join_groups, salted, salts_seen
 from tidemark.llm.simhash_dedup import bucket_edges, covering_masks, near_duplicates, near_edges, simhash
 from tidemark.llm.token_counts import SharedForward, Vocabulary, count_one, token_counts
 from tidemark.llm.url_filter import build_cascade, judge_urls
@@ -318,3 +319,14 @@ def test_pipeline(spark, texts):
     tokenizer = Tokenizer.from_file(q.tokenizer_path("byte_bpe_50k.json"))
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in kept["decontamination"].items()}
     check_packing(cp.run(spark, SF).collect(), ids)
+
+
+def test_salted_groups_keep_every_row(spark):
+    keys = ["hot"] * 1000 + [None, None, "rare"]
+    rows = salted(spark.createDataFrame(list(enumerate(keys)), "id long, key string"), "id")
+    joined = join_groups(rows, rows.groupBy("key").agg(F.count("*").alias("n"), salts_seen()), "key")
+    assert joined.columns == ["id", "key", "n"]
+    assert sorted(map(tuple, joined.collect())) == [(i, k, keys.count(k)) for i, k in enumerate(keys)]
+    spread = rows.where("key = 'hot'").select("_salt").distinct().count()
+    assert spread == 64
+    assert join_groups(rows.limit(0), rows.limit(0).groupBy("key").agg(salts_seen()), "key").count() == 0
