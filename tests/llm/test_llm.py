@@ -15,7 +15,7 @@ from tidemark.llm import queries as q
 from tidemark.llm.components import connected_components
 from tidemark.llm.decontaminate import decontaminate, find_leaks
 from tidemark.llm.html_text import extract_text, main_text
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import dedup_lines, dedup_words
 from tidemark.llm.lm_score import lm_scores
 from tidemark.llm.nbsvm import quality_scores
 from tidemark.llm.packing import encoder, pack, subset_counts
@@ -286,6 +286,33 @@ def test_copies_and_repeated_rows(spark):
     assert dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
 
 
+def without_repeats(texts):
+    """The words of each text that lie in no window of 50 words that occurs earlier."""
+    seen, out = {}, []
+    for r, t in enumerate(texts):
+        words = (t or "").split()
+        gone = set()
+        for i in range(len(words) - 49):
+            if seen.setdefault(tuple(words[i : i + 50]), (r, i)) != (r, i):
+                gone.update(range(i, i + 50))
+        out.append([w for i, w in enumerate(words) if i not in gone])
+    return out
+
+
+def test_every_repeated_window_of_words_goes(spark, texts):
+    part = lambda k, n: " ".join(f"p{k}w{i}" for i in range(n))
+    common = [part(k, 10) for k in range(6)]
+    # each common line is first seen among others, so that no first position of a line helps
+    some = ["\n".join([part(100 + k, 30), line, part(200 + k, 30)]) for k, line in enumerate(common)]
+    some += ["\n".join([part(301, 9), *common, part(302, 9)]), "\n".join([part(303, 9), *common, part(304, 9)])]
+    some += [f"{part(401, 7)} {part(400, 50)} {part(402, 7)}", f"{part(403, 7)} {part(400, 20)} x {part(400, 50)}\n{part(404, 7)}\n"]  # inside lines
+    some += ["w " * 300, "a b c " * 18, part(500, 49), part(500, 49), part(501, 80), part(501, 80), None, "", *[texts[i] for i in sorted(texts)]]
+    got = [r["text"] for r in dedup_words(frame(spark, some)).orderBy("doc_id").collect()]
+    assert [(t or "").split() for t in got] == without_repeats(some)
+    assert got[7] == f"{part(303, 9)}\n{part(304, 9)}" and got[9] == f"{part(403, 7)} {part(400, 20)} x\n{part(404, 7)}\n" and got[-len(texts) - 2 : -len(texts)] == [None, ""]
+    assert dedup_words(frame(spark, some).limit(0)).count() == 0
+
+
 # ---- 10
 def test_token_counts(spark, documents, texts):
     model = Vocabulary(q.tokenizer_path("piece_bpe_32k.model"))

@@ -14,6 +14,9 @@ Cases: a null text stays null; an empty text stays empty; blank lines are never
 interrupt a run; rows that repeat both doc_id and text are one document, so each gets the same result;
 a null doc_id counts as one that comes first; other columns pass through; an empty table gives an empty
 result.
+
+``dedup_lines`` is bound to op9's SQL: it knows whole lines, and only the first position of each.
+``dedup_words``, which the pipeline uses, compares all windows of 50 words by their whole content.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import join_groups, materialize, salted, salts_seen
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = r"[\x20\x09-\x0D]"
 KEY = ["doc", "th"]
+#: The words of a repeated passage for ``dedup_words``, and of the stretches that stand for one.
+RUN, HALF = 50, 25
 
 
 def _hash_part(digest: str, at: int):
@@ -90,3 +96,62 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     kept = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("_td_flags", i) == "1", F.lit(True))), "\n")
     out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).withColumn("n_removed", F.coalesce("_td_gone", F.lit(0)))
     return out.withColumn(text, F.when(F.col("_td_gone").isNull(), F.col(text)).otherwise(kept)).drop("_td_doc", "_td_th", "_td_flags", "_td_gone")
+
+
+def _windows(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
+    """(doc, th, *keep, n, h): the number of words, and the hashes of all stretches of ``HALF`` words, in order."""
+    words = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("th"), *keep, F.explode(F.array(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))).alias("_w"))
+    # explodes of one element hold the projections apart: else each would be computed anew inside the next
+    words = words.where(F.size("_w") >= RUN).withColumn("n", F.size("_w"))
+    fives = F.expr(f"transform(sequence(0, n - 5), i -> xxhash64({', '.join(f'get(_w, i + {k})' for k in range(5))}))")
+    words = words.select(*KEY, *keep, "n", F.explode(F.array(fives)).alias("_f"))
+    halves = F.expr(f"transform(sequence(0, n - {HALF}), i -> xxhash64({', '.join(f'get(_f, i + {k})' for k in range(0, HALF, 5))}))")
+    return words.select(*KEY, *keep, "n", F.explode(F.array(halves)).alias("h"))
+
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(th, least, starts): per text its smallest doc_id and, sorted, the windows of ``RUN`` words that occur earlier.
+
+    Holds the texts that have such a window or occur under several ids.  Each window selects the smallest hash
+    of its stretches of ``HALF`` words; equal windows select equal hashes, so only windows whose hash is
+    selected twice are looked up.  They are grouped by the content of the whole window.
+    """
+    picked = _windows(docs, doc_id, text).select(*KEY, "n", "h", F.explode(F.array(F.expr(f"transform(sequence(1, n - {RUN - 1}), i -> array_min(slice(h, i, {RUN - HALF + 1})))"))).alias("m"))
+    begins = F.expr("filter(sequence(0, size(m) - 1), i -> i = 0 or get(m, i) <> get(m, i - 1))")
+    # a text that repeats a stretch may do so within one run of equal minima: it counts twice
+    picked = picked.select(*KEY, "m", F.when(F.size(F.array_distinct("h")) < F.size("h"), 2).otherwise(1).alias("c"), F.explode(F.array(begins)).alias("b"))
+    runs = picked.select(*KEY, "c", F.explode(F.expr("transform(b, (s, k) -> struct(s as s, coalesce(get(b, k + 1), size(m)) as e, get(m, s) as f))")).alias("r"))
+    runs = materialize(runs.select(*KEY, "c", "r.s", "r.e", "r.f"), "dedup-runs")
+    # equal texts are one: the one with the smallest id
+    texts = runs.where("s = 0").groupBy("th").agg(F.min(F.struct("doc")).alias("a"), F.max(F.struct("doc")).alias("z"))
+    texts = materialize(texts.select("th", F.col("a.doc").alias("least"), (F.col("a") != F.col("z")).alias("copied")), "dedup-texts")
+    once = materialize(runs.groupBy("th", "s", "e", "f", "c").agg(F.min(F.struct("doc")).alias("a")).select(F.col("a.doc").alias("doc"), "th", "s", "e", "f", "c"), "dedup-prints")
+    prints = salted(once, "th", "s")
+    twice = prints.groupBy("f").agg(F.sum("c").alias("n"), salts_seen()).where("n > 1")
+    marks = join_groups(prints, twice, "f").groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
+    marks = materialize(marks.select(F.col("doc").alias("_d"), F.col("th").alias("_t"), "_runs"), "dedup-marks")
+    marked = docs.join(marks, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t"))).select(F.col(doc_id), F.col(text), "_runs")
+    at = F.expr(f"flatten(transform(_runs, r -> transform(sequence(r.s, r.e - 1), i -> struct(i as i, get(h, i) as x, get(h, i + {RUN - HALF}) as y))))")
+    windows = _windows(marked, doc_id, text, "_runs").select(*KEY, F.explode(at).alias("w")).select(*KEY, "w.i", "w.x", "w.y")
+    windows = salted(materialize(windows, "dedup-windows"), *KEY, "i")
+    first = windows.groupBy("x", "y").agg(F.min(F.struct(*KEY, "i")).alias("a"), F.count("*").alias("n"), salts_seen()).where("n > 1")
+    later = join_groups(windows, first, "x", "y").where((F.col("th") != F.col("a.th")) | (F.col("i") != F.col("a.i")))
+    gone = later.groupBy("th").agg(F.array_sort(F.collect_set("i")).alias("starts")).withColumnRenamed("th", "_th")
+    return texts.join(gone, F.col("th") == F.col("_th"), "left").where("copied or starts is not null").select("th", "least", "starts")
+
+
+def dedup_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the words that lie in a window of ``RUN`` words that occurs earlier, wherever lines break.
+
+    A later copy of a whole text becomes empty; a deleted word takes the blanks before it along.
+    """
+    gone = repeated_windows(docs, doc_id, text)
+    # one flag per word, up to the last deleted one: built in one pass, read by index
+    flags = F.expr(f"array_join(transform(starts, (x, k) -> concat(repeat('1', greatest(x - coalesce(get(starts, k - 1), -{RUN}) - {RUN}, 0)), repeat('0', least({RUN}, x - coalesce(get(starts, k - 1), -{RUN}))))), '')".replace("get(starts, k - 1)", "if(k > 0, get(starts, k - 1), null)"))
+    gone = materialize(gone.select(F.col("th").alias("_td_th"), F.col("least").alias("_td_least"), F.split(flags, "").alias("_td_flags")), "dedup-flags")
+    joined = docs.join(gone, F.xxhash64(text) == F.col("_td_th"), "left")
+    pieces = F.regexp_extract_all(F.col(text), F.lit(BLANK + "*" + WORD), F.lit(0))
+    kept = F.array_join(F.filter(pieces, lambda x, i: F.coalesce(F.get("_td_flags", i) == "1", F.lit(True))), "")
+    kept = F.concat(F.when(F.get("_td_flags", F.lit(0)) == "0", F.regexp_replace(kept, "^" + BLANK + "+", "")).otherwise(kept), F.regexp_extract(F.col(text), BLANK + r"*\z", 0))
+    cut = F.when(F.col("_td_th").isNull(), F.col(text)).when(~F.col(doc_id).cast("long").eqNullSafe(F.col("_td_least")), F.lit("")).when(F.col("_td_flags").isNull(), F.col(text)).otherwise(kept)
+    return joined.withColumn(text, cut).drop("_td_th", "_td_least", "_td_flags")
