@@ -348,6 +348,15 @@ def test_pipeline(spark, texts):
     check_packing(cp.run(spark, SF).collect(), ids)
 
 
+def test_no_passage_of_fifty_words_is_left_twice(spark, documents, texts):
+    import corpus_pipeline as cp
+
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.cut_repeated_lines(spark, documents, SF).collect()}
+    ids = sorted(texts)
+    assert [(got[i][0] or "").split() for i in ids] == without_repeats([texts[i] for i in ids])
+    assert all(n == len(t) for t, n in got.values() if t is not None)
+
+
 def test_salted_groups_keep_every_row(spark):
     keys = ["hot"] * 1000 + [None, None, "rare"]
     rows = salted(spark.createDataFrame(list(enumerate(keys)), "id long, key string"), "id")
