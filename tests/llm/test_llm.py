@@ -357,6 +357,30 @@ def test_no_passage_of_fifty_words_is_left_twice(spark, documents, texts):
     assert all(n == len(t) for t, n in got.values() if t is not None)
 
 
+def test_near_copies_by_brute_force(spark, texts):
+    from tidemark.llm.similar import similar_groups
+
+    rng = np.random.default_rng(5)
+    some = [t for t in texts.values()]
+    for k in range(12):
+        base = [f"b{k}w{i}" for i in range(60 + 30 * k)]
+        for rate in (0.005, 0.01, 0.015, 0.02, 0.03):
+            some.append(" ".join(f"x{rng.integers(1 << 40)}" if rng.random() < rate else w for w in base))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for t in some for w in [(t or "").encode().lower().split()]]
+    root = list(range(len(some)))
+    for a in range(len(some)):
+        for b in range(a):
+            both, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both >= 0.8 * union and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    got = {r["row"]: r["group"] for r in similar_groups(frame(spark, some), "doc_id").collect()}
+    groups = lambda of: {frozenset(i for i in range(len(some)) if of[i] == g) for g in set(of)}
+    assert groups([got[i] for i in range(len(some))]) == groups(root) and len(set(root)) < len(some) - 20
+    prints = brute_groups({i: plain_simhash(t) for i, t in enumerate(some)})
+    assert any(root[a] == root[b] and prints[a] != prints[b] for a in range(len(some)) for b in range(a))  # 3 bits miss them
+    assert similar_groups(frame(spark, some).limit(0), "doc_id").count() == 0
+
+
 def test_salted_groups_keep_every_row(spark):
     keys = ["hot"] * 1000 + [None, None, "rare"]
     rows = salted(spark.createDataFrame(list(enumerate(keys)), "id long, key string"), "id")
