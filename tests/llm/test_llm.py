@@ -381,6 +381,23 @@ def test_near_copies_by_brute_force(spark, texts):
     assert similar_groups(frame(spark, some).limit(0), "doc_id").count() == 0
 
 
+def test_verdicts_belong_to_rows(spark):
+    import corpus_pipeline as cp
+
+    text = lambda k, n=70: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (2, "junk"), (None, text(3)), (None, "junk"), (None, text(1)), (5, text(5)), (5, "too short"), (6, text(6)), (6, text(6))]
+    rows += [(100 + k, text(100 + k)) for k in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    good = cp.drop_low_quality(spark, docs, SF)
+    assert sorted(r["text"] for r in good.collect()) == sorted(t for _, t in rows if len(t) > 20)
+    one = cp.keep_one_of_each_group(spark, good, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in one if (r["doc_id"] or 0) < 100) == [(0, text(3)), (1, text(1)), (2, text(2)), (5, text(5)), (6, text(6))] and len(one) == 25
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 20").first()["text"]
+    leaks = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [(7, item), (7, text(7)), (None, item), (None, text(8)), (None, None)]], docs.schema)
+    assert sorted(r["text"] or "" for r in cp.drop_leaks(spark, leaks, SF).collect()) == ["", text(7), text(8)]
+    assert cp.keep_one_of_each_group(spark, docs.limit(0), SF).count() == 0
+
+
 def test_salted_groups_keep_every_row(spark):
     keys = ["hot"] * 1000 + [None, None, "rare"]
     rows = salted(spark.createDataFrame(list(enumerate(keys)), "id long, key string"), "id")
