@@ -223,6 +223,16 @@ def test_leaks(spark):
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_no_window_at_the_threshold_is_missed(spark):
+    items = [[f"i{k}w{i}" for i in range(50)] for k in range(500)]
+    docs = frame(spark, ["so " + " ".join([*w[:25], "other", *w[26:]]) + " it is" for w in items])  # 41 of 51 shingles
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(None, "la la la la la la ha")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["position"], r["similarity"]) for r in find_leaks(docs, bench).collect()}
+    assert got == {(k, k, 1, round(41 / 51, 6)) for k in range(500)}
+    songs = {r["doc_id"]: (r["item_id"], r["similarity"]) for r in find_leaks(frame(spark, ["x la la la la la la ha", "la la la la la ha"]), bench).collect()}
+    assert songs[0] == (None, 1.0)
+
+
 # ---- 8
 @pytest.mark.parametrize("lengths,capacity,best", [([(7, 2), (5, 3)], 19, 19), ([(9, 1), (4, 2)], 10, 9), ([], 5, 0), ([(3, 10)], 20, 18)])
 def test_subset_sum(lengths, capacity, best):

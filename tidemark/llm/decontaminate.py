@@ -1,14 +1,11 @@
-"""Benchmark decontamination by SimHash windows; DataFrame functions only.
+"""Benchmark decontamination by aligned windows; DataFrame functions only.
 
 A benchmark item of L words is looked for in windows of L words.  A window can reach the similarity
 ``threshold`` only if it shares that part of the item's five-word shingles, so windows are laid where
-shared shingles put them (one per alignment), which loses none.  Each window gets a 64-bit SimHash of its
-shingles; the fingerprints are cut into ``radius + 1`` blocks, of which two fingerprints within the
-radius agree in one at least, and joined with the items' blocks.  Pairs within the radius are verified
-by the exact similarity of the weighted shingles (weight = how often a shingle occurs).
+shared shingles put them (one per alignment), which loses none.  Every such window is verified by the
+exact similarity of the weighted shingles (weight = how often a shingle occurs); no fingerprint decides.
 
-Words are runs of letters and digits, lower-cased.  The default radius of 15 bits is far beyond what the
-similarity 0.8 gives on average (about 10 bits).
+Words are runs of letters and digits, lower-cased.
 
 Cases: a null or empty text has no words; a document shorter than the item is compared as a whole; an
 item of fewer than five words has no shingle and matches nothing; rows that share a doc_id (or an item_id)
@@ -25,7 +22,6 @@ WIDTH = 5
 #: A broadcast table of shingles holds 40 bytes a row, or 40 MB at this many.
 MAX_BROADCAST_ROWS = 1_000_000
 
-SIMHASH = "aggregate(transform(sequence(0, 63), b -> if(2 * aggregate({w}, 0, (n, h) -> n + cast(shiftright(h, b) & 1 as int)) > size({w}), shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)"
 SHARED = "aggregate(array_distinct({a}), 0, (n, h) -> n + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))"
 
 
@@ -38,38 +34,31 @@ def with_shingles(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return words.select(*keep, F.size("_w").alias("n_words"), F.expr(f"if(size(_w) < {WIDTH}, cast(array() as array<bigint>), transform(sequence(0, size(_w) - {WIDTH}), i -> xxhash64({parts})))").alias("sh"))
 
 
-def _blocks(fp: str, radius: int):
-    """Structs (block number, value) of the radius + 1 blocks of a fingerprint."""
-    n, at, out = radius + 1, 0, []
-    for k in range(n):
-        width = 64 // n + (k < 64 % n)
-        out.append(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(fp), at).bitwiseAND(F.lit((1 << width) - 1)).alias("v")))
-        at += width
-    return F.array(*out)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 15) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, position, similarity): the best window of every document and item that match."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_t")).where("_t is not null").distinct()
-    items = with_shingles(items, "_t", "item_id").where("size(sh) > 0").select("item_id", F.col("n_words").alias("len"), F.col("sh").alias("item_sh"), F.expr(SIMHASH.format(w="sh")).alias("item_fp"))
+    items = with_shingles(items, "_t", "item_id").where("size(sh) > 0").select("item_id", F.col("n_words").alias("len"), F.col("sh").alias("item_sh"))
     grams = items.select("item_id", "len", F.posexplode("item_sh").alias("q", "h"))
+    named = items.withColumnsRenamed({"item_id": "_item", "len": "_len"})
     if grams.count() <= MAX_BROADCAST_ROWS:
-        grams = F.broadcast(grams)
+        grams, named = F.broadcast(grams), F.broadcast(named)
     hits = with_shingles(texts, "_t", "doc_id").select("doc_id", F.posexplode("sh").alias("pos", "h")).join(grams, "h")
     need = F.lit(threshold) * (F.col("len") - (WIDTH - 1))
     enough = hits.groupBy("doc_id", "item_id", "len").agg(F.countDistinct("q").alias("matched"), F.collect_set(F.col("pos") - F.col("q")).alias("starts")).where(F.col("matched") >= need)
-    laid = enough.select("doc_id", F.explode("starts").alias("start"), "len").groupBy("doc_id").agg(F.collect_set(F.struct("start", "len")).alias("laid"))
+    starts = F.expr("transform(starts, s -> struct(s as start, len))")
+    laid = enough.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("laid"), F.collect_set(F.struct("item_id", "len")).alias("asked"))
     laid = laid.withColumnRenamed("doc_id", "_id")
-    found = with_shingles(texts.join(laid, F.col("doc_id").eqNullSafe(F.col("_id"))), "_t", "doc_id", "laid")
+    found = with_shingles(texts.join(laid, F.col("doc_id").eqNullSafe(F.col("_id"))), "_t", "doc_id", "laid", "asked")
     cut = F.expr(f"transform(laid, c -> struct(c.start as start, c.len as len, slice(sh, greatest(c.start, 0) + 1, greatest(least(c.start + c.len - {WIDTH - 1}, size(sh)) - greatest(c.start, 0), 0)) as win))")
-    windows = found.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.start", "c.len", "c.win").where("size(win) > 0").withColumn("fp", F.expr(SIMHASH.format(w="win")))
-    near = windows.select("*", F.explode(_blocks("fp", radius)).alias("x")).select("doc_id", "start", "len", "win", "fp", "x.k", "x.v")
-    index = items.select("*", F.explode(_blocks("item_fp", radius)).alias("x")).select("item_id", "len", "item_sh", "item_fp", "x.k", "x.v")
-    close = near.join(index, ["k", "v", "len"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    close = close.select("doc_id", "item_id", "start", "win", "item_sh").dropDuplicates(["doc_id", "item_id", "start", "win"])
-    shared = F.expr(SHARED.format(a="item_sh", b="win"))
-    checked = close.select("doc_id", "item_id", "start", shared.alias("both"), (F.size("win") + F.size("item_sh")).alias("sum"))
+    windows = found.select("doc_id", "asked", F.explode(cut).alias("c")).where("size(c.win) > 0")
+    pairs = windows.select("doc_id", "c.start", "c.win", F.explode(F.expr("filter(asked, x -> x.len = c.len)")).alias("x")).select("doc_id", "start", "win", "x.item_id", "x.len")
+    pairs = pairs.join(named, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("len") == F.col("_len")))
+    # the shared weight is the number of shared shingles, and at most that of the item's repeats more
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("item_sh", "win"))).withColumn("more", F.size("item_sh") - F.size(F.array_distinct("item_sh")))
+    pairs = pairs.withColumn("sum", F.size("win") + F.size("item_sh")).where((F.col("common") + F.col("more")) * (1 + threshold) >= threshold * F.col("sum") - 1e-6)
+    both = F.when(F.col("more") == 0, F.col("common")).otherwise(F.expr(SHARED.format(a="item_sh", b="win")))
+    checked = pairs.select("doc_id", "item_id", "start", both.alias("both"), "sum")
     checked = checked.withColumn("similarity", F.col("both") / (F.col("sum") - F.col("both"))).where(F.col("similarity") >= threshold)
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.greatest("start", F.lit(0))).alias("back"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("position"), F.round("b.similarity", 6).alias("similarity"))
