@@ -206,6 +206,16 @@ def test_article_alone():
     assert main_text(None) == main_text("") == main_text("<p>") == "" and main_text("<p>a<br>b &bogus; &am") == "a b &bogus; &am"
 
 
+def test_article_text_is_not_swallowed():
+    for name in ("content no-sidebar", "has-sidebar", "social-history"):
+        assert main_text(f'<div class="{name}"><p>One two three.</p><p>Four.</p></div>') == "One two three.\nFour.", name
+    for name in ("site-footer", "sidebar", "x comments", "cookie-notice", "main-nav"):
+        assert main_text(f'<div><p>One two three.</p></div><div class="{name}"><p>Gone.</p></div>') == "One two three.", name
+    assert main_text('<div><p class=ad>Buy now<p>One two.<p>Three.</div>') == "One two.\nThree."
+    assert main_text('<div><div><p class=ad>Buy <b>now</div>One two.</div>') == "One two."
+    assert main_text('<ul><li class=ad>Buy<ul><li>x</li></ul>more<li>One two.</ul><p>Three.') == "One two.\nThree."
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (3, "u", "", "t")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_text(pages).collect()}

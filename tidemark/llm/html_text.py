@@ -32,11 +32,12 @@ SKIPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "hr", "article", "section", "main", "body", "html", "header", "address", "figure", "figcaption", "details", "summary", "center", "hgroup", "search"} | SKIPPED
 GAPS = {"article", "main", "body", "html", "header"} | (SKIPPED & BLOCKS)
-#: Roles, classes and ids of what is not main text.
+OPTIONAL_END = {"p", "li"}
+#: Whole class names and ids of what is not main text; no-sidebar or social-history isn't.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|foot|header|masthead|topbar|"
+    r"(?:(?:site|main|page|top|bottom|left|right|post|global|primary|secondary|header|footer|blog|article|mobile|sub)[_-])*(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|foot|header|masthead|topbar|"
     r"comments?|comment-?list|disqus|respond|replies|reply|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|"
-    r"related|recommend\w*|pagination|pager|widget\w*|toolbar|copyright|legal|disclaimer|skip-?link|search|form|hidden)(?:$|[\s_-])",
+    r"related|recommend\w*|pagination|pager|widget\w*|toolbar|copyright|legal|disclaimer|skip-?link|search|form|hidden)(?:[_-](?:area|bar|block|box|container|content|form|inner|links?|list|main|notice|section|wrap|wrapper|\d+))*",
     re.I,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
@@ -53,7 +54,7 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and BOILER.search(value):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(BOILER.fullmatch(x) for x in value.split()):
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -105,7 +106,16 @@ def strip_markup(page: str, window: int) -> tuple[list[str], list[float]]:
             if not skip and tag in BLOCKS:
                 flush(False)
             continue
+        # a skipped element without its optional end tag ends where HTML says
+        if skip and skip[0] in OPTIONAL_END and (
+            closing and tag not in skip and tag in BLOCKS and tag != "p"
+            or not closing and (tag in BLOCKS if skip[0] == "p" else tag == "li" == skip[0] and not {"ul", "ol", "menu"} & set(skip))
+        ):
+            skip.clear()
+            flush(False)
         if skip:
+            if closing and tag == "li" and {"ul", "ol", "menu"} & set(skip):
+                continue
             if closing and tag in skip:
                 while skip.pop() != tag:
                     pass
