@@ -84,13 +84,14 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0), q.URL_RULES, listed).count() == 0
 
 
-def test_cascade_is_exact_and_bounded(spark):
+def test_cascade_is_exact_in_parts_too(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.where("key like '%7'")
     cascade = build_cascade(listed, universe, rate=0.25)
     assert len(cascade.levels) > 2 and all((f"k{i}" in cascade) == (i % 10 == 7) for i in range(3000))
-    with pytest.raises(ValueError):
-        build_cascade(listed, universe, max_bytes=8)
+    pages = universe.select(F.lit(1).alias("page_id"), F.concat(F.lit("http://"), "key", F.lit("/")).alias("url"))
+    parts = judge_urls(pages, q.URL_RULES, listed.withColumnRenamed("key", "host"), max_bytes=100)  # three cascades
+    assert sorted(r["host"] for r in parts.where("verdict = 'block'").collect()) == sorted(f"k{i}" for i in range(7, 3000, 10)) and parts.count() == 3000
 
 
 # ---- 2
@@ -270,7 +271,6 @@ def test_packing(spark, documents, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(q.tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encode = encoder(q.tokenizer_path("byte_bpe_50k.json"))
     odd = ["a  b", "\n a", "it's  don't 12 3", "a\u0085 b \t c", *[t or "" for t in EDGE]]
     for t in [*odd, *list(texts.values())[:30]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_text_batches
+from tidemark.llm.shared import text_batches
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z|(?=<))""", re.S)
 #: Their content is no markup: it ends at the closing tag alone.
@@ -179,7 +179,7 @@ def main_text(page: str | None, window: int = 3, share: float = 0.34) -> str:
 
 def _extract(window: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, 2):
             texts = [main_text(x.as_py(), window, share) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -188,6 +188,5 @@ def _extract(window: int, share: float):
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", window: int = 3, share: float = 0.34) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; map-only, whole pages."""
-    small_text_batches(pages.sparkSession)
     picked = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     return picked.mapInArrow(_extract(window, share), "page_id long, url string, text string, n_chars long")

@@ -1,22 +1,24 @@
 """Line deduplication by winnowing over line hashes; DataFrame functions only.
 
-Every line with a word is hashed.  A window is the shortest stretch of lines, from any line on, that
-holds at least ``min_words`` words; of each window the line with the smallest hash (the rightmost on
-ties) is selected as a fingerprint.  Two copies of a stretch of ``min_words`` words hold the same
-windows, so they select the same line: every repeated run of that length shares a fingerprint.
-
-Each fingerprint's positions are joined with its first position (documents are ordered by doc_id, then
-by a hash of the text), never with one another; the positions of a very common line are salted.  A matched pair of positions is extended both ways, as
-long as the lines agree; runs of at least ``min_words`` words are deleted from the later place.  The
-first copy of any line always stays.
+Every line with a word is hashed.  A stretch is the shortest run of lines that holds at least ``min_words``
+words, either from a line on (forward) or up to a line (backward).  Of each stretch the line with the
+smallest hash (the rightmost on ties) is selected as its fingerprint.  Equal stretches select the same line,
+so a stretch whose fingerprint is selected at one position only is not repeated and is left out.
+
+The remaining positions are joined by the content of their whole stretch: each content has one first position
+of its own (documents are ordered by doc_id, then by a hash of the text), however common its lines are
+elsewhere.  Every later position of the same content is a match.  A match is extended to the left by the
+forward stretches that begin before it and to the right by the backward stretches that end after it: together
+they cover exactly the lines of every run of ``min_words`` words or more that occurs earlier, and these lines
+are deleted.  The first copy of any line always stays.  The work is linear in the lines, equal ones
+included; stretches of one content are salted, never paired.
 
 Cases: a null text stays null; an empty text stays empty; blank lines are never deleted and do not
 interrupt a run; rows that repeat both doc_id and text are one document, so each gets the same result;
-a null doc_id counts as one that comes first; other columns pass through; an empty table gives an empty
-result.
+a null doc_id counts as one that comes first; a text may be one line or a million equal ones; other columns
+pass through, whatever their names; an empty table gives an empty result.
 
-``dedup_lines`` is bound to op9's SQL: it knows whole lines, and only the first position of each.
-``dedup_words``, which the pipeline uses, compares all windows of 50 words by their whole content.
+``dedup_words``, which the pipeline uses, does the same for words wherever lines break.
 """
 
 from __future__ import annotations
@@ -33,69 +35,59 @@ KEY = ["doc", "th"]
 RUN, HALF = 50, 25
 
 
-def _hash_part(digest: str, at: int):
-    return F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
-
-
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, th, pos, idx, c, nw, h, g): one row per line with a word, dealt by document.
+    """(doc, th, pos, c, e, nw, h, g): one row per line with a word, dealt by document.
 
-    ``idx`` numbers these lines, ``c`` counts the words before one, ``h`` and ``g`` are 60 bits each of
-    the line's MD5.
+    ``c`` counts the words before a line, ``e`` those up to its end; ``h`` and ``g`` are two hashes of the line.
     """
     lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    lines = lines.select(*KEY, "pos", F.regexp_count("line", F.lit(WORD)).alias("nw"), F.md5("line").alias("md5")).where("nw > 0")
-    lines = lines.select(*KEY, "pos", "nw", _hash_part("md5", 1).alias("h"), _hash_part("md5", 16).alias("g"))
+    lines = lines.select(*KEY, "pos", F.regexp_count("line", F.lit(WORD)).alias("nw"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(9), "line").alias("g")).where("nw > 0")
     lines = lines.repartition(*KEY).dropDuplicates([*KEY, "pos"])
-    w = Window.partitionBy(*KEY).orderBy("pos")
-    before = F.coalesce(F.sum("nw").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.select(*KEY, "pos", F.row_number().over(w).alias("idx"), before.alias("c"), "nw", "h", "g")
+    upto = F.sum("nw").over(Window.partitionBy(*KEY).orderBy("pos"))
+    return lines.withColumn("e", upto).withColumn("c", F.col("e") - F.col("nw"))
+
+
+def stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc, th, s, z, at, h, g, x, y): lines s to z, the selected line at ``at`` with its hashes, and two hashes of the whole content."""
+    least = F.min(F.struct("h", (-F.col("pos")).alias("back"), "g"))
+    begun = Window.partitionBy(*KEY).orderBy("c").rangeBetween(0, min_words - 1)
+    ended = Window.partitionBy(*KEY).orderBy("e").rangeBetween(1 - min_words, 0)
 
+    def found(frame):
+        content = [F.xxhash64(F.collect_list(c).over(frame)).alias(n) for c, n in (("h", "x"), ("g", "y"))]
+        return F.struct(F.min("pos").over(frame).alias("s"), F.max("pos").over(frame).alias("z"), F.sum("nw").over(frame).alias("words"), least.over(frame).alias("f"), *content)
 
-def winnow(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, th, idx, h, g, nw, ph, nh): the selected lines; ph, nh are the hashes before and after."""
-    w = Window.partitionBy(*KEY).orderBy("c")
-    frame = w.rangeBetween(0, min_words - 1)
-    least = F.min(F.struct("h", (-F.col("idx")).alias("back"), "g", "nw", "ph", "nh")).over(frame)
-    near = lines.withColumn("ph", F.lag("h").over(w)).withColumn("nh", F.lead("h").over(w))
-    chosen = near.select(*KEY, least.alias("s"), F.sum("nw").over(frame).alias("words")).where(F.col("words") >= min_words)
-    chosen = chosen.select(*KEY, (-F.col("s.back")).alias("idx"), "s.h", "s.g", "s.nw", "s.ph", "s.nh")
-    return chosen.dropDuplicates([*KEY, "idx"])
+    both = lines.withColumn("a", found(begun)).withColumn("first_z", F.first("a.z").over(ended)).withColumn("b", found(ended))
+    # a backward stretch that is also a forward one counts once
+    backward = F.when(F.col("first_z") != F.col("b.z"), F.col("b"))
+    out = both.select(*KEY, F.explode(F.array("a", backward)).alias("r")).where(F.col("r.words") >= min_words)
+    return out.select(*KEY, "r.s", "r.z", (-F.col("r.f.back")).alias("at"), "r.f.h", "r.f.g", "r.x", "r.y")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """(doc, th, pos) of every line to delete."""
-    lines = materialize(line_table(docs, doc_id, text), "dedup-lines")
-    prints = salted(materialize(winnow(lines, min_words), "dedup-prints"), *KEY)
-    first = prints.groupBy("h", "g").agg(F.min(F.struct("doc", "th", "idx", "ph", "nh")).alias("a"), F.count("*").alias("n"), salts_seen()).where("n > 1")
-    # a line that is too short to be a run must agree with its source on one side at least
-    extends = (F.col("nw") >= min_words) | (F.col("ph") == F.col("a.ph")) | (F.col("nh") == F.col("a.nh"))
-    moved = ~(F.col("doc").eqNullSafe(F.col("a.doc")) & (F.col("th") == F.col("a.th"))) | (F.col("idx") != F.col("a.idx"))
-    pairs = join_groups(prints, first, "h", "g").where(extends & moved)
-    pairs = pairs.select(*KEY, F.col("a.doc").alias("adoc"), F.col("a.th").alias("ath"), (F.col("idx") - F.col("a.idx")).alias("shift")).distinct()
-    # extend both ways: the later document's lines against the source's, along the shift
-    later = pairs.alias("p").join(lines.alias("l"), F.col("p.doc").eqNullSafe(F.col("l.doc")) & (F.col("p.th") == F.col("l.th")))
-    later = later.select("p.doc", "p.th", "adoc", "ath", "shift", "pos", "idx", "nw", "h", "g", (F.col("idx") - F.col("shift")).alias("aidx"))
-    source = lines.select(F.col("doc").alias("sdoc"), F.col("th").alias("sth"), F.col("idx").alias("sidx"), F.col("h").alias("sh"), F.col("g").alias("sg"))
-    same = F.col("adoc").eqNullSafe(F.col("sdoc")) & (F.col("ath") == F.col("sth")) & (F.col("aidx") == F.col("sidx")) & (F.col("h") == F.col("sh")) & (F.col("g") == F.col("sg"))
-    pair = [*KEY, "adoc", "ath", "shift"]
-    matched = later.join(source, same).select(*pair, "pos", "idx", "nw")
-    runs = matched.withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy(*pair).orderBy("idx")))
-    words = runs.withColumn("words", F.sum("nw").over(Window.partitionBy(*pair, "run")))
-    return words.where(F.col("words") >= min_words).select(*KEY, "pos").distinct()
+    """(doc, th, s, z): the stretches of lines to delete, each with an earlier copy."""
+    runs = salted(materialize(stretches(line_table(docs, doc_id, text), min_words), "dedup-stretches"), *KEY, "s", "z")
+    at = F.struct(*KEY, "at")
+    prints = runs.groupBy("h", "g").agg(F.min(at).alias("a"), F.max(at).alias("b"), salts_seen()).where("a <> b").drop("a", "b")
+    shared = salted(materialize(join_groups(runs, prints, "h", "g").select(*KEY, "s", "z", "x", "y"), "dedup-shared"), *KEY, "s", "z")
+    place = F.struct(*KEY, "s", "z")
+    first = shared.groupBy("x", "y").agg(F.min(place).alias("a"), F.count("*").alias("n"), salts_seen()).where("n > 1").drop("n")
+    return join_groups(shared, first, "x", "y").where(place != F.col("a")).select(*KEY, "s", "z")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and the columns n_lines, n_removed."""
-    gone = repeated_lines(docs, doc_id, text, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    # one flag per line, up to the last deleted one: built in one pass, read by index
-    flags = F.array_join(F.transform("p", lambda x, i: F.concat(F.repeat(F.lit("1"), x - F.when(i > 0, F.get("p", i - 1)).otherwise(-1) - 1), F.lit("0"))), "")
-    gone = gone.select(F.col("doc").alias("_td_doc"), F.col("th").alias("_td_th"), F.split(flags, "").alias("_td_flags"), F.size("p").alias("_td_gone"))
+    gone = repeated_lines(docs, doc_id, text, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("s", "z"))).alias("r"))
+    # one flag per line, up to the last deleted one: built in one pass, read by index; the ends rise with the begins
+    before = F.expr("transform(r, (x, i) -> struct(x.s as s, x.z as z, if(i > 0, get(r, i - 1).z, -1) as p))")
+    flags = F.expr("array_join(transform(q, x -> concat(repeat('1', greatest(x.s - x.p - 1, 0)), repeat('0', x.z - greatest(x.s - 1, x.p)))), '')")
+    gone = gone.select(*KEY, F.explode(F.array(before)).alias("q")).select(F.col("doc").alias("_td_doc"), F.col("th").alias("_td_th"), F.split(flags, "").alias("_td_flags"))
     joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_td_doc")) & (F.xxhash64(text) == F.col("_td_th")), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("_td_flags", i) == "1", F.lit(True))), "\n")
-    out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).withColumn("n_removed", F.coalesce("_td_gone", F.lit(0)))
-    return out.withColumn(text, F.when(F.col("_td_gone").isNull(), F.col(text)).otherwise(kept)).drop("_td_doc", "_td_th", "_td_flags", "_td_gone")
+    kept = F.filter(lines, lambda x, i: F.coalesce(F.get("_td_flags", i) == "1", F.lit(True)) | ~x.rlike(WORD))
+    joined = joined.withColumn("_td_kept", F.when(F.col("_td_th").isNotNull(), kept)).withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
+    out = joined.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size("_td_kept"), F.lit(0)))
+    return out.withColumn(text, F.coalesce(F.array_join("_td_kept", "\n"), F.col(text))).drop("_td_doc", "_td_th", "_td_flags", "_td_kept")
 
 
 def _windows(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:

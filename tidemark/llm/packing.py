@@ -8,8 +8,9 @@ capacity; the counts are read back along the recorded bitsets.  What slack is le
 beginning of the next item.  Windows are filled while the task holds more than ``pool`` items.  The last,
 partly filled window of a task is cut into sequences of power-of-two lengths, which need no padding.
 
-Cases: a null text counts as empty (its one id is the document end); repeated rows are packed each; an
-empty table gives no pieces; texts are never cut short.
+Cases: a null text counts as empty (its one id is the document end); repeated rows are packed each, also where
+they share an id; an added token of the file that stands in a text gets its own id; an empty table gives no
+pieces; a text may be of any length and hold any run of one character; texts are never cut short.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_text_batches
+from tidemark.llm.shared import text_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = b"\0\0\0\0"
@@ -93,7 +96,7 @@ class Packer:
             yield window
 
 
-#: The pre-token pattern of the byte-level vocabulary (a fixed value).
+#: The pre-token pattern of every ByteLevel file that asks for one (a fixed value; the file only names it).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 def _alphabet() -> dict[str, int]:
@@ -104,24 +107,58 @@ def _alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """ids of whole texts by a byte-level BPE file, as the tokenizers library gives them.
+    """ids of whole texts by a tokenizers file, added tokens included, exactly as the library's default call gives them.
 
-    The merges of such a vocabulary are in the order of the ids, so the ranks are read from the file and
-    applied by tiktoken, several times faster; a test holds the ids against the tokenizers library.
+    A byte-level BPE file whose merges are in the order of the ids (both is checked on load) is read as ranks and
+    applied by tiktoken, several times faster.  Any other file, and any text that tiktoken's pattern engine gives
+    up on (a million blanks in a row), goes through the tokenizers library.  A test holds both against each other.
     """
 
     def __init__(self, path: str):
+        self.path, self._library = path, None
+        described = json.loads(Path(path).read_text("utf-8"))
+        self.fast = self._ranked(described) if self._is_ranked(described) else None
+
+    @staticmethod
+    def _is_ranked(described: dict) -> bool:
+        model, split = described["model"], described.get("pre_tokenizer") or {}
+        ids = model.get("vocab", {})
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not described.get("normalizer")
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        # an added token that is cut out of the raw text as it stands
+        added = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in described.get("added_tokens", ()))
+        in_order = all(a + b in ids for a, b in merges) and all(x < y for x, y in pairwise(ids[a + b] for a, b in merges))
+        smallest = min((ids[a + b] for a, b in merges), default=0)
+        single = len(ids) - len(merges)
+        return plain and added and in_order and single == smallest == 256 and not any(model.get(k) for k in options)
+
+    @staticmethod
+    def _ranked(described: dict):
         import tiktoken
 
         byte_of = _alphabet()
-        vocabulary = json.loads(Path(path).read_text("utf-8"))
-        special = {x["content"] for x in vocabulary.get("added_tokens", ())}
-        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary["model"]["vocab"].items() if piece not in special}
-        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = {t["content"]: t["id"] for t in described.get("added_tokens", ())}
+        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in described["model"]["vocab"].items() if piece not in added}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def by_library(self, text: str) -> bytes:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
+        if not text:
+            return b""
+        if self.fast is None:
+            return self.by_library(text)
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:  # the pattern needs more stack than there is
+            return self.by_library(text)
 
 
 @lru_cache(maxsize=2)
@@ -157,7 +194,7 @@ def _pack(tokenizer_path: str, capacity: int, pool: int):
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for doc, text in zip(docs, texts):
                 ids = encode(text) + END
@@ -180,6 +217,5 @@ def _pack(tokenizer_path: str, capacity: int, pool: int):
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 1024, pool: int = 512) -> DataFrame:
     """Pieces of all documents; ``sequence_id`` is unique over the tasks."""
-    small_text_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(_pack(tokenizer_path, capacity, pool), SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import join_groups, materialize, salted, salts_seen, small_text_batches
+from tidemark.llm.shared import join_groups, materialize, salted, salts_seen, text_batches
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -49,7 +49,7 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_batches(batches, 2):
         rows = [measure_text(t.as_py()) for t in batch.column(2)]
         columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "host", *MEASURES])
@@ -57,7 +57,6 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """One row of measures per document; map-only."""
-    small_text_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     return picked.mapInArrow(_measure, "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 

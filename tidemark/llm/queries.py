@@ -17,7 +17,7 @@ from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.shared import table
 from tidemark.llm.simhash_dedup import hex_digits, near_duplicates
 from tidemark.llm.token_counts import token_counts
-from tidemark.llm.url_filter import judge_urls, trap_hosts
+from tidemark.llm.url_filter import farm_hosts, judge_urls
 
 #: The rules that the query's contract fixes.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -31,7 +31,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages, URL_RULES, trap_hosts(pages))
+    return judge_urls(pages, URL_RULES, farm_hosts(pages))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,14 +92,14 @@ WITH cut AS (
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut
 ), rules(action, h, p) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
-), traps AS (
-  SELECT DISTINCT host FROM (SELECT host, path FROM parts WHERE host <> '' GROUP BY host, path HAVING count(*) >= 2)
+), counts AS (SELECT host, count(*) AS n FROM parts WHERE host <> '' GROUP BY host
+), farms AS (SELECT host FROM counts WHERE n >= 1.5 * (SELECT sum(n)::DOUBLE / count(*) FROM counts)
 ), fitting AS (
   SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
   FROM (SELECT DISTINCT page_id, host, path FROM parts) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
 )
 SELECT parts.page_id, parts.host, parts.path, rule,
-       coalesce(action, CASE WHEN parts.host IN (SELECT host FROM traps) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(action, CASE WHEN parts.host IN (SELECT host FROM farms) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fitting ON parts.page_id IS NOT DISTINCT FROM fitting.page_id AND parts.host = fitting.host AND parts.path = fitting.path
 """
 
@@ -177,38 +177,18 @@ best AS (SELECT doc_id, item_id, max(sim) AS sim FROM sim WHERE sim >= 0.8 GROUP
 SELECT doc_id, item_id, min(start)::BIGINT AS position, round(sim, 6) AS similarity FROM best JOIN sim USING (doc_id, item_id, sim) GROUP BY doc_id, item_id, sim
 """
 
-#: CTEs from docs(r, doc_id, text), a table name, to gone(r, pos).
-DEDUP_CTES = r"""
-raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs} WHERE text IS NOT NULL),
-counted AS (SELECT r, pos, md5(line) AS md5, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM raw),
-lines AS (
-  SELECT r, pos, nw, row_number() OVER d AS idx, coalesce(sum(nw) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
-         ('0x' || substr(md5, 1, 15))::BIGINT AS h, ('0x' || substr(md5, 16, 15))::BIGINT AS g
-  FROM counted WHERE nw > 0 WINDOW d AS (PARTITION BY r ORDER BY pos)
-), near AS (SELECT *, lag(h) OVER d AS ph, lead(h) OVER d AS nh FROM lines WINDOW d AS (PARTITION BY r ORDER BY c)),
-chosen AS (
-  SELECT r, -(min((h, -idx)) OVER f)[2] AS idx, sum(nw) OVER f AS words FROM near WINDOW f AS (PARTITION BY r ORDER BY c RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
-), prints AS (SELECT * FROM near SEMI JOIN (SELECT * FROM chosen WHERE words >= 50) k ON near.r = k.r AND near.idx = k.idx),
-firsts AS (SELECT h, g, min((r, idx)) AS a FROM prints GROUP BY h, g),
-pairs AS (
-  SELECT DISTINCT p.r, a.r AS ar, p.idx - a.idx AS shift FROM prints p JOIN firsts f ON p.h = f.h AND p.g = f.g JOIN prints a ON a.r = f.a[1] AND a.idx = f.a[2]
-  WHERE (p.r <> a.r OR p.idx <> a.idx) AND (p.nw >= 50 OR p.ph = a.ph OR p.nh = a.nh)
-), matched AS (
-  SELECT pairs.r, ar, shift, l.pos, l.idx, l.nw, l.idx - row_number() OVER (PARTITION BY pairs.r, ar, shift ORDER BY l.idx) AS run
-  FROM pairs JOIN lines l ON l.r = pairs.r JOIN lines s ON s.r = ar AND s.idx = l.idx - shift AND s.h = l.h AND s.g = l.g
-), gone AS (
-  SELECT DISTINCT r, pos FROM (SELECT *, sum(nw) OVER (PARTITION BY r, ar, shift, run) AS words FROM matched) WHERE words >= 50
-)
-"""
-
-OP9_SQL = (
-    "WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, text FROM documents),\n"
-    + DEDUP_CTES.format(docs="docs").strip()
-    + r""",
+#: All pairs of positions of equal lines; a run is a maximal stretch along one shift.
+OP9_SQL = r"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, text FROM documents),
+raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs WHERE text IS NOT NULL),
+counted AS (SELECT r, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM raw),
+lines AS (SELECT r, pos, line, nw, row_number() OVER (PARTITION BY r ORDER BY pos) AS idx FROM counted WHERE nw > 0),
+pairs AS (SELECT p.r, a.r AS ar, p.idx - a.idx AS shift, p.pos, p.idx, p.nw FROM lines p JOIN lines a ON p.line = a.line AND (a.r < p.r OR a.r = p.r AND a.idx < p.idx)),
+runs AS (SELECT *, idx - row_number() OVER (PARTITION BY r, ar, shift ORDER BY idx) AS run FROM pairs),
+gone AS (SELECT DISTINCT r, pos FROM (SELECT *, sum(nw) OVER (PARTITION BY r, ar, shift, run) AS words FROM runs) WHERE words >= 50),
 kept AS (SELECT r, count(*) AS n_lines, count(gone.pos) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (gone.pos IS NULL) AS text FROM raw LEFT JOIN gone USING (r, pos) GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text FROM docs LEFT JOIN kept USING (r)
 """
-)
 
 
 def oracle_sql() -> dict[str, str]:

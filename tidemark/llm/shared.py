@@ -4,26 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch for operators that hand whole texts to Python tasks.
-TEXT_BATCH_ROWS = 512
+#: Paths of the tables written since the innermost ``intermediate_tables`` began, if there is one.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (single-machine tests) is a temporary folder made and remembered.
+    Where that is unset, a session on one machine gets a temporary folder; a cluster, whose executors would each
+    write to a disk of their own, is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+@contextmanager
+def intermediate_tables() -> Iterator[list[str]]:
+    """Collects the paths that ``materialize`` writes meanwhile, for ``remove_tables`` when nothing reads them any more."""
+    made: list[str] = []
+    token = _written.set(made)
+    try:
+        yield made
+    finally:
+        _written.reset(token)
+
+
+def record_tables(paths: list[str]) -> None:
+    """Leave the removal of ``paths`` to the ``intermediate_tables`` around, if there is one."""
+    if (made := _written.get()) is not None:
+        made.extend(paths)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -33,6 +65,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    record_tables([path])
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,11 +94,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     return rows.join(dealt, same).drop("_salt", "_s", *[f"_k_{k}" for k in keys])
 
 
-def small_text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, unless the session has a setting of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut (without copying) to at most ``rows`` rows and, beyond the first row, ``size`` bytes of a text column.
+
+    Bounds what a Python task decodes at a time, whatever the session's batch settings are.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
+        if not batch.num_rows:
+            yield batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,8 +7,8 @@ agree in that table: 2^(r+1) - 1 tables guarantee every pair, without exception.
 
 Equal fingerprints are merged first.  Inside a bucket no list of pairs is made: a search from one
 fingerprint to its unvisited neighbours yields one edge per fingerprint reached.  Buckets beyond
-``block`` fingerprints are dealt out as pairs of blocks, so that no task holds more than two blocks of
-one bucket, and every pair still meets.  The edges are joined to groups by ``connected_components``.
+``block`` fingerprints are split by further bits, then as pairs of blocks, so that no task holds more than two
+blocks of one bucket, and every pair still meets.  The edges are joined to groups by ``connected_components``.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; a text of fewer words than
 a shingle is one shingle; repeated rows share a fingerprint; a null doc_id is never a group's smallest
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import materialize, small_text_batches
+from tidemark.llm.shared import join_groups, materialize, salted, salts_seen, text_batches
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -54,7 +54,7 @@ def simhash(text: str | None, width: int = 3) -> int:
 
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             values = np.array([simhash(t.as_py(), width) for t in batch.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
@@ -63,7 +63,6 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint's bits as a signed long; map-only."""
-    small_text_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
@@ -112,8 +111,8 @@ def _sorted_buckets(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
-            values = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)], 1)
+            values = batch.column(6).to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             edges: list = []
             for a, b in zip([0, *cuts], [*cuts, len(values)]):
@@ -130,32 +129,52 @@ def _sorted_buckets(radius: int):
     return run
 
 
+def parts_outside(mask: int, parts: int, bits: int = 64) -> list[int]:
+    """The bits that ``mask`` leaves out, dealt to ``parts`` masks."""
+    free = [i for i in range(bits) if not mask >> i & 1]
+    return [sum(1 << i for i in free[k::parts]) for k in range(parts)]
+
+
 def near_edges(prints: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
-    """(a, b) pairs of fingerprints within ``radius`` that connect all such pairs of ``prints`` (column fp, distinct)."""
-    masks = [_signed(m) for m in covering_masks(radius)]
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    hot = keyed.join(sizes, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    """(a, b) pairs of fingerprints within ``radius`` that connect all such pairs of ``prints`` (column fp, distinct).
+
+    A bucket of over ``block`` fingerprints is split by the bits that its table leaves out: dealt to radius + 1
+    parts, one part at least agrees for every pair.  What is still over ``block`` then is dealt out as pairs of blocks.
+    """
+    masks = covering_masks(radius)
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
+    keyed = salted(prints.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp"), "fp")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), salts_seen()).where("n > 1")
+    met = join_groups(keyed, sizes, "t", "key").select("t", "key", "fp", (F.col("n") > block).alias("large"))
+    outside = F.array(*[F.array(*[F.lit(_signed(p)) for p in parts_outside(m, radius + 1)]) for m in masks])
+    split = F.transform(F.get(outside, F.col("t")), lambda p, j: F.struct(j.alias("part"), F.col("fp").bitwiseAND(p).alias("key2")))
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("key2")))
+    cell = ["t", "key", "part", "key2"]
+    celled = met.select("t", "key", "fp", "large", F.explode(F.when(F.col("large"), split).otherwise(whole)).alias("x")).select("t", "key", "x.part", "x.key2", "fp", "large")
+    hot = salted(celled.where("large").drop("large"), "fp")
+    counts = hot.groupBy(*cell).agg(F.count("*").alias("n"), salts_seen()).where("n > 1")
+    hot = join_groups(hot, counts, *cell).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     # a fingerprint of block k goes to the cells (i, k) with i <= k and (k, j) with k < j
-    cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    )
-    dealt = hot.withColumn("own", own).select("t", "key", "fp", F.explode(cells).alias("c")).select("t", "key", "c.i", "c.j", "fp")
-    return dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(_sorted_buckets(radius), "a long, b long").distinct()
+    hot = hot.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    dealt = hot.select(*cell, "fp", F.explode(cells).alias("c")).select(*cell, "c.i", "c.j", "fp")
+    cold = celled.where("not large").select(*cell, F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    keys = [*cell, "i", "j"]
+    return cold.unionByName(dealt).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sorted_buckets(radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most ``radius`` bits."""
-    prints = materialize(fingerprints(docs, doc_id, text, width), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    prints = salted(materialize(fingerprints(docs, doc_id, text, width), "simhash-prints"), "doc_id")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), salts_seen()).withColumnRenamed("_salts", "_print_salts")
+    classes = materialize(classes, "simhash-classes")
     edges = near_edges(classes.select("fp"), radius)
     groups = connected_components(edges)  # (node, root) over fingerprints that have a link
-    rooted = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    rooted = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", "_print_salts", F.coalesce("root", "fp").alias("root"))
+    rooted = salted(rooted, "fp")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), salts_seen())
+    named = join_groups(rooted, smallest, "root").select("fp", "component_id", F.col("_print_salts").alias("_salts"))
+    return join_groups(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):

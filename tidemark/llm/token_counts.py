@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_text_batches
+from tidemark.llm.shared import text_batches
 
 MARK = "▁"  # the vocabulary's sign for a blank before a word
 
@@ -92,7 +92,7 @@ def _count(path: str, cache_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
         known = model.known
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in batch.column(1).to_pylist()]
             if len(known) > cache_size:
                 known.clear()
@@ -107,7 +107,6 @@ def _count(path: str, cache_size: int):
 
 def token_counts(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", cache_size: int = 400_000) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens); map-only, whole texts."""
-    small_text_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(_count(vocabulary_path, cache_size), "doc_id long, n_pretokens long, n_tokens long")
 
