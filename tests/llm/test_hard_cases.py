@@ -14,6 +14,7 @@ from tests.llm.test_llm import frame
 from tidemark.llm import queries as q
 from tidemark.llm.components import connected_components
 from tidemark.llm.decontaminate import find_leaks, simhash, with_shingles
+from tidemark.llm.html_text import Line, extract_text, kept_lines, main_text
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.nbsvm import Features, dual_coordinate_descent, fit, word_shape
 from tidemark.llm.packing import encoder, pack
@@ -96,6 +97,45 @@ def test_hub_above_its_neighbours_and_equal_fingerprints(spark):
     assert sorted(map(tuple, got)) == [(0, 1_000_001), (10**7, 1)]
 
 
+# ---- 6
+def test_line_blocks_by_brute_force():
+    """Stretches between surge and dive, found by summing every window anew, on lines without structure."""
+    rng = random.Random(6)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(1, 30))]
+        lines = [Line("x" if w else "", float(w), 0, i) for i, w in enumerate(weights)]
+        sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
+        runs, i = [], 0
+        while i < len(sums):
+            j = i
+            while j < len(sums) and sums[j]:
+                j += 1
+            if j > i:
+                runs.append((i, j))
+            i = max(j, i + 1)
+        largest = max(runs, key=lambda r: sum(weights[slice(*r)]), default=None)
+        want = [i for r in runs if r == largest or max(sums[slice(*r)]) >= 80 for i in range(*r) if weights[i]]
+        assert kept_lines(lines, 3, 80.0) == want
+
+
+def test_markup_as_html_says():
+    long = "Long text here. " * 20
+    assert main_text("<p title=it's>one</p><p>two</p><p>don't</p>") == "one\ntwo\ndon't"
+    assert main_text('<article><div class="article-header"><h1>Title</h1></div><p class="share-price">5</p><p class=legal>law</p><div class="side note">n</div></article>') == "Title\n5\nlaw\nn"
+    assert main_text(f"<div><p><a href=x>A linked sentence.</a></p><p>{long}</p><aside>no</aside><p>End.</p></div><div id=x><a href=y>menu</a></div>") == f"A linked sentence.\n{long.strip()}\nEnd."
+    assert main_text(f"<div>{'<p>Short.</p>' * 3}</div><form>no</form><div><p>{long}</p></div>") == long.strip()
+    assert main_text("<p>a <script>x</script>b <button>no</button>c") == "a b c" and main_text("<p>a<p b='c") == "a"
+    assert main_text("<div class=sidebar><p>All there is.</p></div>") == "All there is."
+    assert main_text("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == "a\nb\nc\nd"
+    deep = "<div>" * 50_000 + "x" + "</div>" * 50_000
+    assert main_text(deep) == "x" and main_text("<p>y " * 200_000).count("\n") == 199_999
+
+
+def test_repeated_and_null_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
+
+
 # ---- 7
 def plain_simhash(hashes):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))

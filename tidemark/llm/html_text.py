@@ -1,22 +1,32 @@
 """Main text of HTML pages by line-block distribution.
 
-The markup is stripped to lines, one per block element.  Where a container of another role begins or
-ends (article, section, aside, ...) a gap of empty lines is left.  The text lengths are summed over
-sliding windows of ``window`` lines; the distribution surges where the sum leaves zero and dives where
-it returns to zero.  Kept is what lies between the surge and the dive with the most text, and every
-other such stretch that holds at least ``share`` of the largest one.  Elements that by name, role or
-class are never main text (navigation, footers, adverts, comments, ...) are skipped while stripping.
-Outside of articles link text has no length, so link lists do not surge; an article has no gaps within.
-
-Cases: a null or empty page gives an empty text; markup cut off at the end is closed there; unknown or
-broken entities stay as they are; repeated rows are extracted each.
+The markup is stripped to lines, one per block element.  A line weighs the length of its text without link text;
+text in elements that HTML itself defines as no main content (navigation, footers, forms, scripts, ...) is left out,
+and at their borders, as at those of articles, a gap of empty lines is left.  The weights are summed over sliding
+windows of ``window`` lines; the distribution surges where the sum leaves zero and dives where it returns to zero.
+The stretch between a surge and its dive that holds the most text decides where the main text is:
+
+* if it lies in an ``<article>`` (else in ``<main>``), all lines of that element are kept;
+* else kept are the stretches whose windows reach ``surge`` characters and those that begin or end in a container of
+  the largest one; linked lines at their ends are kept where they share the container of the line beside them.
+
+Class names and ids are hints, not rules: a line inside an element whose name says menu, sidebar, cookie notice,
+advert, comments or the like (all of its parts, so ``no-sidebar``, ``share-price`` or ``article-header`` say nothing)
+weighs nothing and isn't kept, unless nothing else on the page has any weight.
+
+Cases: a null or empty page gives an empty text; markup cut off at the end is closed there; optional end tags, unquoted
+values and stray quotes are read as HTML says; unknown or broken character references stay as they are; pages of any
+length are read whole, in one pass; repeated rows are extracted each; a null page_id or url is kept; other columns,
+whatever their names, are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,168 +35,236 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import text_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z|(?=<))""", re.S)
+#: A comment, a declaration, or a tag: closing mark, name, attributes.  Nothing is tried twice, so any page takes one pass.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))?|[\s/=])*+)(?:>|\Z)""",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Their content is no markup: it ends at the closing tag alone.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "canvas", "object"}
-SKIPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "label", "figure"} - {"figure"}
+#: No main content, as blocks and within a line.
+OFF_BLOCKS = {"head", "nav", "footer", "aside", "form", "dialog", "menu", "fieldset"}
+OFF_INLINE = {"button", "select", "label"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "hr", "article", "section", "main", "body", "html", "header", "address", "figure", "figcaption", "details", "summary", "center", "hgroup", "search"} | SKIPPED
-GAPS = {"article", "main", "body", "html", "header"} | (SKIPPED & BLOCKS)
-OPTIONAL_END = {"p", "li"}
-#: Whole class names and ids of what is not main text; no-sidebar or social-history isn't.
-BOILER = re.compile(
-    r"(?:(?:site|main|page|top|bottom|left|right|post|global|primary|secondary|header|footer|blog|article|mobile|sub)[_-])*(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|foot|header|masthead|topbar|"
-    r"comments?|comment-?list|disqus|respond|replies|reply|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|"
-    r"related|recommend\w*|pagination|pager|widget\w*|toolbar|copyright|legal|disclaimer|skip-?link|search|form|hidden)(?:[_-](?:area|bar|block|box|container|content|form|inner|links?|list|main|notice|section|wrap|wrapper|\d+))*",
-    re.I,
-)
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: What a line's neighbours share.
+CONTAINERS = {"div", "section", "article", "main", "body", "html", "header", "blockquote", "figure", "center", "details"}
+BLOCKS = CONTAINERS | OFF_BLOCKS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "pre", "hr", "address", "figcaption", "summary", "hgroup", "search"}
+LISTS = {"ul", "ol", "menu"}
+#: Elements that end where the next one of their group begins.
+GROUPS = {"li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+HINTS = set("ad ads advert adverts advertisement advertisements sponsored sponsor promo cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comments comment disqus newsletter pagination related".split())
+#: Words that may stand beside a hint in a name and leave its sense.
+BESIDE = set("site main page top bottom left right global primary secondary mobile sub box block list area wrap wrapper container section inner content bar link links banner notice item items unit slot header articles posts signup".split())
 BLANKS = re.compile(r"\s+")
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in SKIPPED:
-        return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true":
+def hinted(names: str) -> bool:
+    """Whether a class or id says boilerplate: every part of one of its names does, or stands beside one that does."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_\d]+", name) if p]
+        if any(p in HINTS for p in parts) and all(p in HINTS or p in BESIDE for p in parts):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(BOILER.fullmatch(x) for x in value.split()):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub("", attributes)))
+    return False
 
 
-def strip_markup(page: str, window: int) -> tuple[list[str], list[float]]:
-    """Lines of text and their weights; empty lines mark the borders of containers."""
-    lines: list[str] = []
-    weights: list[float] = []
-    piece: list[str] = []
-    linked: list[str] = []
-    in_link = 0
-    in_article = 0
-    skip: list[str] = []  # open elements since one that is skipped
+def judged(attributes: str) -> str:
+    """``off`` for hidden elements and roles outside the main content, ``hint`` for names of boilerplate, else empty."""
+    if "=" not in attributes and "hidden" not in attributes:
+        return ""
+    out = ""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return "off"
+        if name in ("class", "id") and hinted(value):
+            out = "hint"
+    return out
+
 
-    def flush(gap: bool) -> None:
-        text = BLANKS.sub(" ", _html.unescape("".join(piece))).strip()
+@dataclass(slots=True)
+class Line:
+    """A block's text, its length without links, the article or main element and the container that hold it."""
+
+    text: str = ""
+    weight: float = 0.0
+    region: int = 0
+    container: int = 0
+    hint: bool = False
+
+
+class Stripper:
+    """Turns a page into lines; borders of other content become ``gap`` empty lines."""
+
+    def __init__(self, gap: int):
+        self.gap, self.lines = gap, []
+        self.piece: list[str] = []
+        self.linked: list[str] = []
+        self.stack: list[tuple] = []  # (tag, judgement, region, container) of open structural elements
+        self.open: Counter = Counter()
+        self.off = self.hints = self.in_link = self.number = 0
+
+    def flush(self, gap: bool = False) -> None:
+        text = BLANKS.sub(" ", _html.unescape("".join(self.piece))).strip()
         if text:
-            links = 0 if in_article else len(BLANKS.sub(" ", "".join(linked)).strip())
-            lines.append(text)
-            weights.append(0.0 if links >= 0.8 * len(text) else float(len(text) - links))
-        piece.clear()
-        linked.clear()
-        if gap and lines and lines[-1] and not in_article:
-            lines.extend([""] * window)
-            weights.extend([0.0] * window)
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not skip:
-            raw = page[at:stop]
-            piece.append(raw)
-            if in_link:
-                linked.append(raw)
-        if not m:
-            break
-        at = max(m.end(), m.start() + 1)
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = bool(m[1]), m[3] or ""
-        alone = tag in VOID or attributes.endswith("/") and tag in ("svg", "math")
-        if not closing and tag in RAW and not alone:
-            close = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else end
-            if not skip and tag in BLOCKS:
-                flush(False)
-            continue
-        # a skipped element without its optional end tag ends where HTML says
-        if skip and skip[0] in OPTIONAL_END and (
-            closing and tag not in skip and tag in BLOCKS and tag != "p"
-            or not closing and (tag in BLOCKS if skip[0] == "p" else tag == "li" == skip[0] and not {"ul", "ol", "menu"} & set(skip))
-        ):
-            skip.clear()
-            flush(False)
-        if skip:
-            if closing and tag == "li" and {"ul", "ol", "menu"} & set(skip):
-                continue
-            if closing and tag in skip:
-                while skip.pop() != tag:
-                    pass
-                if not skip:
-                    flush(tag in GAPS)
-            elif not closing and not alone and tag not in ("p", "li", "td", "tr", "option", "dt", "dd"):
-                skip.append(tag)
-            continue
-        boiler = not closing and not alone and (is_boilerplate(tag, attributes) or tag == "header" and not in_article)
-        if tag in BLOCKS or boiler:
-            if tag in ("article", "main") and closing:
-                flush(False)
-                in_article = max(0, in_article - 1)
-            flush(tag in GAPS)
+            links = len(BLANKS.sub(" ", _html.unescape("".join(self.linked))).strip())
+            _, _, region, container = self.stack[-1] if self.stack else ("", "", 0, 0)
+            self.lines.append(Line(text, float(max(len(text) - links, 0)), region, container, self.hints > 0))
+        self.piece.clear()
+        self.linked.clear()
+        if gap and self.lines and self.lines[-1].text:
+            self.lines.extend(Line() for _ in range(self.gap))
+
+    def push(self, tag: str, judgement: str) -> None:
+        _, _, region, container = self.stack[-1] if self.stack else ("", "", 0, 0)
+        self.number += 1
+        if tag == "article" and not self.open["article"] or tag == "main" and not self.open["article"] and not self.open["main"]:
+            region = self.number
+        if tag in CONTAINERS:
+            container = self.number
+        self.stack.append((tag, judgement, region, container))
+        self.open[tag] += 1
+        self.off += judgement == "off"
+        self.hints += judgement == "hint"
+
+    def pop(self) -> str:
+        tag, judgement, _, _ = self.stack.pop()
+        self.open[tag] -= 1
+        self.off -= judgement == "off"
+        self.hints -= judgement == "hint"
+        return tag
+
+    def close_implied(self, tag: str) -> None:
+        """Ends the elements that a start tag ends."""
+        if tag in BLOCKS and self.stack and self.stack[-1][0] == "p":
+            self.flush()
+            self.pop()
+        for k in range(len(self.stack) - 1, -1, -1):
+            below = self.stack[k][0]
+            if tag in GROUPS.get(below, ()):
+                self.flush()
+                while len(self.stack) > k:
+                    self.pop()
+            elif below in LISTS or below in CONTAINERS or below in OFF_BLOCKS or below == "table":
+                break
+
+    def start(self, tag: str, attributes: str) -> None:
+        if self.stack:
+            self.close_implied(tag)
+        judgement = "off" if tag in OFF_BLOCKS or tag in OFF_INLINE or tag == "header" and not (self.open["article"] or self.open["main"]) else ""
+        if not judgement and attributes and tag not in ("html", "body", "main", "article"):
+            judgement = judged(attributes)
+        border = bool(judgement) and tag not in OFF_INLINE or tag in ("article", "main", "body")
+        if tag in BLOCKS:
+            self.flush(border and not self.off)
         elif tag == "br":
-            piece.append(" ")
-        if boiler:
-            skip.append(tag)
+            self.piece.append(" ")
         elif tag == "a":
-            in_link = 0 if closing else 1
-        elif tag in ("article", "main") and not closing:
-            in_article += 1
-    flush(False)
-    return lines, weights
+            self.in_link = 1
+        if tag not in VOID and (judgement or tag in CONTAINERS or tag in LISTS or tag == "table"):
+            self.push(tag, judgement)
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.in_link = 0
+        if tag in BLOCKS and not self.off:
+            self.flush()
+        if not self.open[tag]:
+            return
+        was_off, border = self.off, tag in ("article", "main", "body")
+        while True:
+            border |= bool(self.stack[-1][1]) and self.stack[-1][0] not in OFF_INLINE
+            if self.pop() == tag:
+                break
+        if border and (not was_off or not self.off):
+            self.flush(True)
+
+    def strip(self, page: str) -> list[Line]:
+        at, end = 0, len(page)
+        while at < end:
+            m = TOKEN.search(page, at)
+            stop = m.start() if m else end
+            if stop > at and not self.off:
+                self.piece.append(page[at:stop])
+                if self.in_link:
+                    self.linked.append(page[at:stop])
+            if not m:
+                break
+            at = max(m.end(), m.start() + 1)
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                self.end(tag)
+            elif tag in RAW and not (tag in ("svg", "math") and m[3].endswith("/")):
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else end
+            else:
+                self.start(tag, m[3])
+        self.flush()
+        return self.lines
 
 
-def stretches(weights: list[float], window: int) -> list[tuple[int, int, float]]:
-    """(surge, dive, text length) of every stretch where the windowed sums stay above zero."""
+def stretches(weights: list[float], window: int) -> list[tuple[int, int, float, float]]:
+    """(surge, dive, text length, largest sum) of every stretch where the windowed sums stay above zero."""
     if not weights:
         return []
     w = np.asarray(weights)
     total = np.concatenate([[0.0], np.cumsum(w)])
     n = len(w)
     sums = total[np.minimum(np.arange(n) + window, n)] - total[:n]
-    found, start = [], None
-    for i in range(n + 1):
-        above = i < n and sums[i] > 1e-9
-        if above and start is None:
-            start = i
-        elif not above and start is not None:
-            found.append((start, i, float(total[i] - total[start])))
-            start = None
-    return found
-
-
-def main_text(page: str | None, window: int = 3, share: float = 0.34) -> str:
-    if not page:
-        return ""
-    lines, weights = strip_markup(page, window)
+    above = np.concatenate([[False], sums > 1e-9, [False]])
+    turns = np.flatnonzero(above[1:] != above[:-1])
+    return [(int(a), int(b), float(total[b] - total[a]), float(sums[a:b].max())) for a, b in zip(turns[::2], turns[1::2])]
+
+
+def kept_lines(lines: list[Line], window: int, surge: float) -> list[int]:
+    """Numbers of the lines of the main text."""
+    weights = [0.0 if x.hint else x.weight for x in lines]
+    if not any(weights):
+        for x in lines:
+            x.hint = False
+        weights = [x.weight for x in lines]
     found = stretches(weights, window)
     if not found:
-        return ""
-    most = max(x[2] for x in found)
-    kept = []
-    for a, b, size in found:
-        if size >= share * most:
-            filled = [i for i in range(a, b) if weights[i]]
-            kept += [line for line in lines[filled[0] : filled[-1] + 1] if line]
-    return "\n".join(kept)
+        return []
+    a, b, _, _ = max(found, key=lambda x: x[2])
+    heaviest = max(range(a, b), key=lambda i: weights[i])
+    region = lines[heaviest].region
+    if region:
+        return [i for i, x in enumerate(lines) if x.text and x.region == region and not x.hint]
+    around = {lines[i].container for i in range(a, b) if weights[i]}
+    out = []
+    for a, b, _, largest in found:
+        filled = [i for i in range(a, b) if weights[i]]
+        first, last = filled[0], filled[-1]
+        if lines[first].region or largest < surge and not {lines[first].container, lines[last].container} & around:
+            continue
+        while first > 0 and lines[first - 1].text and lines[first - 1].container == lines[first].container:
+            first -= 1
+        while last + 1 < len(lines) and lines[last + 1].text and lines[last + 1].container == lines[last].container:
+            last += 1
+        out += [i for i in range(max(first, out[-1] + 1 if out else 0), last + 1) if lines[i].text and not lines[i].hint and not lines[i].region]
+    return out
+
+
+def main_text(page: str | None, window: int = 3, surge: float = 80.0) -> str:
+    lines = Stripper(window).strip(page or "")
+    return "\n".join(lines[i].text for i in kept_lines(lines, window, surge))
 
 
-def _extract(window: int, share: float):
+def _extract(window: int, surge: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 2):
-            texts = [main_text(x.as_py(), window, share) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), window, surge) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", window: int = 3, share: float = 0.34) -> DataFrame:
+def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", window: int = 3, surge: float = 80.0) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; map-only, whole pages."""
     picked = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return picked.mapInArrow(_extract(window, share), "page_id long, url string, text string, n_chars long")
+    return picked.mapInArrow(_extract(window, surge), "page_id long, url string, text string, n_chars long")
