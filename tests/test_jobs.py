@@ -44,14 +44,14 @@ def test_lake_and_star(spark, tmp_path):
 
     for _ in range(2):
         jobs.load_star(spark, f"{root}/silver", f"{root}/star", M)
-        fact = jobs._table(spark, f"{root}/star", "fact")
-        assert fact.count() == 96 and jobs._table(spark, f"{root}/star", "dim_location").count() == 2
+        fact = jobs.current_table(spark, f"{root}/star", "fact")
+        assert fact.count() == 96 and jobs.current_table(spark, f"{root}/star", "dim_location").count() == 2
 
     gold = tb.read_layer(spark, f"{root}/gold").drop("region").withColumnRenamed("marz", "region")
     for _ in range(2):
         report = jobs.run_walk_forward(spark, gold, f"{root}/star", "v1", ["temperature_2m"], "temperature_2m", 6, 2, 4).first()
     assert report["rows"] == 2 * 11 * 2 and report["cells"] == 2 and report["skipped"] == 0
-    groups = jobs._table(spark, f"{root}/star", "scored_groups")
+    groups = jobs.current_table(spark, f"{root}/star", "scored_groups")
     assert groups.count() == 2 * 11 and {r["mse"] for r in groups.select("mse").collect()} == {2.5}
     assert jobs.backfill(spark, f"{root}/star", "temperature_2m") == 0
 
@@ -85,3 +85,27 @@ def test_plan_and_manifest(spark):
     wanted = spark.sql("SELECT date'2024-01-01' AS date")
     assert jobs.merge_if_clean(manifest, good, wanted, "archive").count() == 366
     assert jobs.merge_if_clean(manifest, good.withColumn("ok", F.lit(False)), wanted, "archive").count() == 365
+
+
+def test_nothing_landed(spark, tmp_path):
+    assert jobs.bronze_to_silver(spark, f"{tmp_path}/none", f"{tmp_path}/silver").count() == 0
+    jobs.silver_to_gold(spark, f"{tmp_path}/silver", f"{tmp_path}/gold")
+    assert not (tmp_path / "silver").exists() and not (tmp_path / "gold").exists()
+
+
+def test_old_versions_go(spark, tmp_path):
+    for n in range(4):
+        jobs._publish(spark.range(n), str(tmp_path), "t")
+    assert jobs.current_table(spark, str(tmp_path), "t").count() == 3
+    assert len(list((tmp_path / "t").glob("v-*"))) == 2
+
+
+def test_measures_and_full_refresh(spark, tmp_path):
+    assert br.MEASURES == ["temperature_2m", "relative_humidity_2m", "dew_point_2m", "precipitation", "pressure_msl", "cloud_cover", "wind_speed_10m", "wind_direction_10m", "wind_gusts_10m", "shortwave_radiation"]
+    assert all(f"{m} DOUBLE" in tb.STAR["fact"][0] for m in br.MEASURES)
+    for n in (5, 2):
+        tb.replace_table(spark.range(n).withColumn("p", F.lit("x")), f"{tmp_path}/t", ["p"])
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    (tmp_path / "places.json").write_text('[{"region": "am", "lat": 40.1, "lon": 44.5, "population": 5, "capital": "Y"}, {"region": "b", "lat": 1, "lon": 2}]')
+    places = br.read_locations(spark, f"{tmp_path}/places.json").orderBy("region").collect()
+    assert [(p["region"], p["lat"], p["population"], p["capital"]) for p in places] == [("am", 40.1, 5, "Y"), ("b", 1.0, None, None)]

@@ -168,3 +168,60 @@ def test_compatibility_guard():
 def test_best_geocode(spark):
     rows = spark.createDataFrame([("x", 1, None, 1.00004), ("x", 2, 5, 2.0), ("x", 3, 5, 3.0)], "query string, position int, population long, latitude double").withColumn("longitude", F.lit(0.0))
     assert rp.best_geocode(rows, F.lit(True)).first()["position"] == 2
+
+
+def test_upsert_has_one_row_per_key(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, version int")
+    new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "k int, v string, version int")
+    got = up.upsert(old, new, ["k"], "version").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 0), (2, "d", 2), (3, "e", 1)]
+    with pytest.raises(ValueError):
+        up.upsert(old, new, ["k"])
+    assert sorted(map(tuple, up.absent(old, new, ["k"]).collect())) == [(3, "e", 1)]
+    child = spark.createDataFrame([(1,), (9,), (None,)], "k int")
+    assert [r["k"] for r in up.orphans(child, old, ["k"]).collect()] == [9]
+
+
+def test_global_ranks(spark):
+    import random
+
+    values = [random.Random(1).randrange(50) for _ in range(500)]
+    df = spark.createDataFrame([(v if v else None, i) for i, v in enumerate(values)], "x int, i int")
+    got = {r["i"]: r["rank"] for r in sm.global_ranks(df, ["x", "i"], "rank", 20).collect()}
+    order = sorted(range(500), key=lambda i: (values[i], i))
+    assert all(got[i] == rank for rank, i in enumerate(order))
+    assert sm.global_ranks(df.limit(0), ["x", "i"], "rank").count() == 0
+    assert {r["batch_id"] for r in sm.batch_ids(df, ["x", "i"], 100).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_windows_are_fitted_on_scaled_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    day, series = dt.datetime(2024, 1, 1), rng.normal(10, 3, 120)
+    rows = [("a", day + dt.timedelta(hours=i), float(v), float(i % 7)) for i, v in enumerate(series)]
+    df = spark.createDataFrame(rows, "p string, t timestamp, v double, w double")
+    samples = sm.sliding_samples(df, ["p"], "t", ["v", "w"], "v", 4, 2)
+    models, stats, error = ev.fit_windows(samples, ["v", "w"], 2, ["p"])
+    flat = [([x for i in r["inputs"] for x in (i["v"], i["w"])], r["targets"]) for r in samples.orderBy("anchor_ts").collect()]
+    x, y = np.array([f[0] for f in flat]), np.array([f[1] for f in flat])
+    cut = int(len(x) * 0.8)
+    mean, std = x[:cut].reshape(-1, 2).mean(0), x[:cut].reshape(-1, 2).std(0)
+    assert abs(stats["v"]["mean"] - mean[0]) < 1e-9 and abs(stats["w"]["std"] - std[1]) < 1e-9
+    z = np.hstack([(x.reshape(len(x), 4, 2) - mean).reshape(len(x), 8) / np.tile(std, 4), np.ones((len(x), 1))])
+    fitted = np.linalg.lstsq(z[:cut], y[:cut], rcond=None)[0]
+    assert abs(error - ((z[cut:] @ fitted - y[cut:]) ** 2).mean()) < 1e-3 and set(models) == {1, 2}
+    with pytest.raises(ValueError):
+        ev.fit_windows(samples.limit(0), ["v", "w"], 2, ["p"])
+
+
+def test_calendar_is_utc_in_any_zone(spark):
+    df = spark.sql("SELECT timestamp'2024-01-06 23:30:00Z' AS t")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            row = add_calendar(df, "t").first()
+            assert (row["hour"], row["day_of_week"], row["is_weekend"]) == (23, 7, 1), z
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

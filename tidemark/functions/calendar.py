@@ -13,7 +13,8 @@ def season(month: Column) -> Column:
 
 def add_calendar(df: DataFrame, ts: str, types: str = "gold") -> DataFrame:
     """hour, day_of_week (1 = Sunday), month, season, is_weekend; as ints for ``gold``, short and boolean plus year for ``dim``."""
-    t = F.col(ts)
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    t = F.col(ts) if zone in ("UTC", "Etc/UTC", "Z") else F.to_utc_timestamp(F.col(ts).cast("timestamp"), zone)  # fields are those of UTC
     weekend = F.dayofweek(t).isin(1, 7)
     number = "int" if types == "gold" else "short"
     fields = {"hour": F.hour(t).cast(number), "day_of_week": F.dayofweek(t).cast(number), "month": F.month(t).cast(number), "season": season(F.month(t))}

@@ -62,5 +62,7 @@ def coverage_report(requested: DataFrame, present: DataFrame, added: DataFrame)
 
 
 def run_stats(log: DataFrame) -> DataFrame:
-    """requested, succeeded, failed and rows of an ingest log (ok, rows)."""
-    return log.agg(F.count("*").alias("requested"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("rows"))), F.lit(0)).cast("long").alias("rows"))
+    """requested, succeeded, failed, rows and skipped of an ingest log (ok, rows, skipped); a skipped chunk is not requested."""
+    did = ~F.coalesce(F.col("skipped"), F.lit(False)) if "skipped" in log.columns else F.lit(True)
+    rows = F.coalesce(F.sum(F.when(did & F.col("ok"), F.col("rows"))), F.lit(0)).cast("long")
+    return log.agg(F.count_if(did).alias("requested"), F.count_if(did & F.col("ok")).alias("succeeded"), F.count_if(did & ~F.col("ok")).alias("failed"), rows.alias("rows"), F.count_if(~did).alias("skipped"))

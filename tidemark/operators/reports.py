@@ -10,7 +10,7 @@ def latest_per_location(fact: DataFrame, dim_loc: DataFrame, dim_time: DataFrame
     """Every location with its newest archive value, or NULL if there is none."""
     rows = fact.where((F.col("dataset") == "archive") & F.col(v).isNotNull()).join(dim_time.select("time_id", "observed_at"), "time_id")
     newest = rows.groupBy("location_id").agg(F.max(F.struct("observed_at", v)).alias("_m"))
-    return dim_loc.join(newest, "location_id", "left").select(*dim_loc.columns, F.col("_m.observed_at").alias("observed_at"), F.col(f"_m.{v}").alias(v))
+    return dim_loc.join(newest, "location_id", "left").select(*dim_loc.columns, F.col("_m.observed_at").alias("observed_at"), F.col(f"_m.{v}").alias(v)).orderBy(*[c for c in ("region", "location_id") if c in dim_loc.columns])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, cols: list[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def series(fact: DataFrame, dim_time: DataFrame, v: str, location: int | None =
     rows = fact.where((F.col("dataset") == "archive") & F.col(v).isNotNull())
     if location is not None:
         rows = rows.where(F.col("location_id") == location)
-    return rows.join(dim_time.select("time_id", "observed_at"), "time_id").groupBy("observed_at").agg(F.avg(v).alias(v))
+    return rows.join(dim_time.select("time_id", "observed_at"), "time_id").groupBy("observed_at").agg(F.avg(v).alias(v)).orderBy("observed_at")
 
 
 def snapshots(preds: DataFrame, location: int | None = None, n: int = 50) -> DataFrame:
@@ -42,7 +42,7 @@ def snapshots(preds: DataFrame, location: int | None = None, n: int = 50) -> Dat
 def snapshot_values(preds: DataFrame, made_at: list, location: int | None = None) -> DataFrame:
     rows = preds.where(F.col("prediction_made_at").isin(made_at))
     rows = rows if location is None else rows.where(F.col("location_id") == location)
-    return rows.groupBy("target_time", "prediction_made_at").agg(F.avg("predicted_value").alias("predicted"), F.avg("actual_value").alias("actual"))
+    return rows.groupBy("target_time", "prediction_made_at").agg(F.avg("predicted_value").alias("predicted"), F.avg("actual_value").alias("actual")).orderBy("target_time", "prediction_made_at")
 
 
 def best_groups(groups: DataFrame, preds: DataFrame, dim_loc: DataFrame, location: int | None = None, n: int = 200) -> DataFrame:

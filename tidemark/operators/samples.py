@@ -58,22 +58,28 @@ def sliding_samples(df: DataFrame, loc: list[str], ts: str, feats: list[str], ta
     return out.select(*loc, F.col(ts).alias("anchor_ts"), F.col("_inputs").alias("inputs"), targets)
 
 
-def chrono_split(df: DataFrame, anchor: str, tie_cols: list[str], val_fraction: float) -> DataFrame:
-    """Adds ``split``: the first int(n (1 - f)) rows by anchor are train, the rest val.
+def global_ranks(df: DataFrame, order: list[str], rank: str, buckets: int = 200) -> DataFrame:
+    """Adds ``rank``, from 0, in the order of all rows; the first column of ``order`` is a number, a date or a time.
 
-    Rows are counted per anchor and the counts summed in time order; only the rows of the anchor at the
-    border are ranked, so no task sorts all samples.
+    Rows are dealt to ranges of that column (cut at its approximate percentiles) and ranked inside them; what comes
+    before a range is added.  No task sorts all rows, and the driver sees the cuts alone.
     """
-    counts = df.groupBy(anchor).agg(F.count("*").alias("_n"))
-    summed = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(anchor)) - F.col("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).first()["t"]
-    cut = int(total * (1.0 - val_fraction))
-    ranked = df.join(summed, anchor)
-    edge = (F.col("_before") < cut) & (F.col("_before") + F.col("_n") > cut)
-    sure = ranked.where(~edge).withColumn("split", F.when(F.col("_before") + F.col("_n") <= cut, "train").otherwise("val"))
-    border = ranked.where(edge).withColumn("_rn", F.row_number().over(Window.partitionBy(anchor).orderBy(*tie_cols)))
-    border = border.withColumn("split", F.when(F.col("_before") + F.col("_rn") <= cut, "train").otherwise("val")).drop("_rn")
-    return sure.unionByName(border).drop("_n", "_before")
+    cuts = [i / buckets for i in range(1, buckets)]
+    found = df.select(F.percentile_approx(order[0], cuts).alias("c")).first()["c"] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(found))]) if found else F.array().cast("array<int>")
+    of = F.size(F.filter(bounds, lambda c: c < F.col(order[0]))) if found else F.lit(0)
+    dealt = df.withColumn("_bucket", of)
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")  # over the buckets
+    ranked = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    ranked = ranked.join(F.broadcast(sizes.select("_bucket", before.alias("_before"))), "_bucket")
+    return ranked.withColumn(rank, F.col("_before") + F.col("_rn") - 1).drop("_bucket", "_before", "_rn")
+
+
+def chrono_split(df: DataFrame, anchor: str, tie_cols: list[str], val_fraction: float) -> DataFrame:
+    """Adds ``split``: the first int(n (1 - f)) rows by anchor (ties by ``tie_cols``) are train, the rest val."""
+    cut = int(df.count() * (1.0 - val_fraction))
+    return global_ranks(df, [anchor, *tie_cols], "_rank").withColumn("split", F.when(F.col("_rank") < cut, "train").otherwise("val")).drop("_rank")
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -93,8 +99,10 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def batch_ids(df: DataFrame, order: list[str], size: int, within: list[str] | None = None) -> DataFrame:
-    """Fixed-size batches in order; ``within`` numbers them per group and keeps the sort distributed."""
-    w = Window.partitionBy(*(within or [])).orderBy(*order)
+    """Fixed-size batches in order; ``within`` numbers them per group."""
+    if not within:
+        return global_ranks(df, order, "_rank").withColumn("batch_id", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
+    w = Window.partitionBy(*within).orderBy(*order)
     return df.withColumn("batch_id", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
@@ -102,7 +110,7 @@ def evenly_spaced(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """n rows at evenly spaced ranks, both ends included."""
     total = df.count()
     picks = sorted({int(i * (total - 1) / (n - 1)) for i in range(n)} if n > 1 else {0})
-    return df.withColumn("_rn", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_rn").isin(picks)).drop("_rn")
+    return global_ranks(df, order, "_rank").where(F.col("_rank").isin(picks)).drop("_rank")
 
 
 def persistence(samples: DataFrame, target: str, seq_out: int | None = None) -> DataFrame:

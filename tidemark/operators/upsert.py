@@ -9,16 +9,27 @@ from pyspark.sql import functions as F
 
 
 def absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``existing``; one row per key."""
-    return new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+    """Rows of ``new`` whose key is not in ``existing``; of rows that share a key the smallest."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]) if rest else new.distinct()
+    return one.select(*new.columns).join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return existing.unionByName(absent(existing, new, keys))
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` replaces rows of the same key; other keys stay."""
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """``new`` replaces rows of the same key; other keys stay.
+
+    Of rows of ``new`` that share a key the one with the largest ``version`` counts; without a version column they
+    are refused, so a key is never there twice.
+    """
+    if version is not None:
+        rest = [c for c in new.columns if c not in keys]
+        new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *rest)).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) if c in rest else c for c in new.columns])
+    elif not duplicate_keys(new, keys).isEmpty():
+        raise ValueError(f"rows that share a key {keys}: name the column that decides")
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
@@ -43,7 +54,8 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
-    return child.join(parent.select(*keys), keys, "left_anti")
+    """Rows whose key has no parent; a key with a NULL refers to nothing."""
+    return child.na.drop(subset=keys).join(parent.select(*keys), keys, "left_anti")
 
 
 def null_violations(df: DataFrame, cols: Iterable[str]) -> DataFrame:

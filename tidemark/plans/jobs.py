@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import walkforward_version
@@ -12,15 +12,22 @@ from tidemark.operators import samples as sm
 from tidemark.operators.features import build_gold, dedupe_latest
 from tidemark.operators.star import build_fact, location_dim, time_dim
 from tidemark.operators.upsert import assign_keys, upsert
-from tidemark.sources.bronze import MEASURES, flatten_hourly, read_bronze, split_valid
-from tidemark.sources.tables import STAR, read_layer, scan_coverage, swap_table, write_layer
+from tidemark.sources.bronze import MEASURES, bronze_schema, flatten_hourly, read_bronze, split_valid
+from tidemark.sources.tables import STAR, read_layer, remove_versions, scan_coverage, swap_table, write_layer
 
 PLACE = ["region", "lat", "lon"]
 
 
 def bronze_to_silver(spark: SparkSession, src: str, dst: str, measures: list[str] = MEASURES) -> DataFrame:
-    """Flatten landed documents; the newest run (then the last file) wins per key.  Returns the quarantine."""
-    bronze = read_bronze(spark, src, measures).withColumn("_file", F.col("_metadata.file_path"))
+    """Flatten landed documents; the newest run (then the last file) wins per key.  Returns the quarantine.
+
+    Where nothing has landed nothing is written, and the quarantine is empty.
+    """
+    try:
+        bronze = read_bronze(spark, src, measures)
+    except FileNotFoundError:
+        return spark.createDataFrame([], bronze_schema(measures))
+    bronze = bronze.withColumn("_file", F.col("_metadata.file_path"))
     if "run_ts" not in bronze.columns:
         bronze = bronze.withColumn("run_ts", F.lit(None).cast("string"))
     valid, quarantine = split_valid(bronze)
@@ -32,10 +39,18 @@ def bronze_to_silver(spark: SparkSession, src: str, dst: str, measures: list[str
 
 
 def silver_to_gold(spark: SparkSession, src: str, dst: str, target: str = "temperature_2m", loc: list[str] | None = None) -> None:
+    """Gold features of a silver layer; where there is none, or an empty one, nothing is written."""
+    try:
+        if read_layer(spark, src).isEmpty():
+            return
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return
     write_layer(build_gold(read_layer(spark, src), loc or ["region", "dataset", "lat", "lon"], "observed_at", target), dst)
 
 
-def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
+def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     try:
         return spark.read.parquet(spark.read.text(f"{root}/{name}/current").first()[0])
     except Exception as e:
@@ -45,18 +60,26 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _publish(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Write a new version of a table, then point ``current`` at it."""
+    """Write a new version of a table, then point ``current`` at it; the version before stays for its readers, older ones go."""
+    spark = df.sparkSession
+    try:
+        before = spark.read.text(f"{root}/{name}/current").first()[0]
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        before = ""
     path = swap_table(df, f"{root}/{name}")
-    df.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/current")
-    return df.sparkSession.read.parquet(path)
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/current")
+    remove_versions(spark, f"{root}/{name}", [path, before])
+    return spark.read.parquet(path)
 
 
 def load_star(spark: SparkSession, silver: str, root: str, measures: list[str] = MEASURES) -> None:
     """Upsert the dimensions (ids are kept), refresh the fact; running it again changes nothing."""
     rows = read_layer(spark, silver).drop("region").withColumnRenamed("marz", "region")
-    places = assign_keys(location_dim(rows, PLACE, ["elevation"], "observed_at"), _table(spark, root, "dim_location"), PLACE, "location_id")
+    places = assign_keys(location_dim(rows, PLACE, ["elevation"], "observed_at"), current_table(spark, root, "dim_location"), PLACE, "location_id")
     places = _publish(places, root, "dim_location")
-    times = _publish(assign_keys(time_dim(rows, "observed_at"), _table(spark, root, "dim_time"), ["date", "observed_at"], "time_id"), root, "dim_time")
+    times = _publish(assign_keys(time_dim(rows, "observed_at"), current_table(spark, root, "dim_time"), ["date", "observed_at"], "time_id"), root, "dim_time")
     _publish(build_fact(rows, places, times, PLACE, measures), root, "fact")
 
 
@@ -69,32 +92,31 @@ def run_walk_forward(spark: SparkSession, gold: DataFrame, root: str, version: s
         samples = sm.anchors_between(samples, "anchor_ts", F.lit(newest) - F.expr(f"interval {int(lookback_days)} days"), F.lit(newest))
     scored = ev.score(samples, models, feats) if models else sm.persistence(samples, target, seq_out)
     preds = ev.walk_forward(scored, PLACE, walkforward_version(F.lit(version)), seq_in)
-    places = _table(spark, root, "dim_location")
+    places = current_table(spark, root, "dim_location")
     known = preds.join(places.select("location_id", *PLACE), PLACE)
     skipped = preds.select(*PLACE).distinct().join(places, PLACE, "left_anti")
-    columns = _table(spark, root, "predictions").columns
+    columns = current_table(spark, root, "predictions").columns
     blank = known.withColumns({"actual_value": F.lit(None).cast("double"), "actual_filled_at": F.lit(None).cast("timestamp")}).select(*columns)
     keys = ["location_id", "model_version", "prediction_made_at", "target_time"]
     from tidemark.operators.upsert import insert_absent
 
-    ledger = _publish(insert_absent(_table(spark, root, "predictions"), blank, keys), root, "predictions")
+    ledger = _publish(insert_absent(current_table(spark, root, "predictions"), blank, keys), root, "predictions")
     backfill(spark, root, target, f"walkforward:{version}")
     refresh_scores(spark, root)
     return ev.walk_forward_report(ledger.where(F.col("model_version") == f"walkforward:{version}"), skipped)
 
 
 def backfill(spark: SparkSession, root: str, v: str, version: str | None = None) -> int:
-    """Fill in actual values; returns how many were filled."""
-    out = ev.backfill_actuals(_table(spark, root, "predictions"), _table(spark, root, "fact"), _table(spark, root, "dim_time"), v, version)
-    written = _publish(out, root, "predictions")
-    n = written.where("filled_now").count()
-    _publish(written.drop("filled_now"), root, "predictions")
-    return n
+    """Fill in actual values; returns how many were filled.  The ledger is written once."""
+    out = ev.backfill_actuals(current_table(spark, root, "predictions"), current_table(spark, root, "fact"), current_table(spark, root, "dim_time"), v, version)
+    seen = Observation()
+    _publish(out.observe(seen, F.count_if("filled_now").alias("n")).drop("filled_now"), root, "predictions")
+    return seen.get["n"]
 
 
 def refresh_scores(spark: SparkSession, root: str) -> DataFrame:
-    scored = ev.score_groups(_table(spark, root, "predictions")).withColumn("computed_at", F.current_timestamp())
-    old = _table(spark, root, "scored_groups")
+    scored = ev.score_groups(current_table(spark, root, "predictions")).withColumn("computed_at", F.current_timestamp())
+    old = current_table(spark, root, "scored_groups")
     return _publish(upsert(old, scored.select(*old.columns), ["location_id", "model_version", "prediction_made_at"]), root, "scored_groups")
 
 
@@ -113,4 +135,4 @@ def merge_if_clean(manifest: DataFrame, log: DataFrame, wanted: DataFrame, datas
     return cov.merge_coverage(manifest.select("dataset", "date"), wanted.select(F.lit(dataset).alias("dataset"), "date"))
 
 
-__all__ = ["backfill", "bronze_to_silver", "ingest_plan", "load_star", "merge_if_clean", "refresh_scores", "run_walk_forward", "scan_coverage", "silver_to_gold"]
+__all__ = ["backfill", "bronze_to_silver", "current_table", "ingest_plan", "load_star", "merge_if_clean", "refresh_scores", "run_walk_forward", "scan_coverage", "silver_to_gold"]

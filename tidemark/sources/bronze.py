@@ -13,13 +13,13 @@ MEASURES = [
     "temperature_2m",
     "relative_humidity_2m",
     "dew_point_2m",
-    "apparent_temperature",
     "precipitation",
-    "rain",
-    "snowfall",
-    "surface_pressure",
+    "pressure_msl",
     "cloud_cover",
     "wind_speed_10m",
+    "wind_direction_10m",
+    "wind_gusts_10m",
+    "shortwave_radiation",
 ]
 LOCATIONS = T.StructType([T.StructField("region", T.StringType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("elevation", T.DoubleType()), T.StructField("population", T.LongType()), T.StructField("capital", T.StringType()), T.StructField("admin1", T.StringType())])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -20,6 +21,26 @@ STAR = {
 }
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one where that is unset on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-lake-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_versions(spark: SparkSession, root: str, keep: Iterable[str]) -> None:
+    """Delete the versions under ``root`` that ``swap_table`` wrote, but for the paths in ``keep``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {p.rsplit("/", 1)[-1] for p in keep}
+    for status in fs.listStatus(place):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in names:
+            fs.delete(status.getPath(), True)
+
+
 def write_layer(df: DataFrame, path: str, mode: str = "dynamic", parts: Iterable[str] = ("dataset", "date")) -> None:
     """``dynamic`` replaces just the partitions that ``df`` has, ``static`` the whole layer."""
     df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*parts).parquet(path)
