@@ -10,8 +10,8 @@ fingerprint is cut in ``BLOCKS`` blocks, and of two fingerprints within the radi
 that are found are verified by the exact similarity of the weighted shingles (weight = how often a shingle occurs) of
 every window that a shared shingle aligns with the item; the best one is reported.
 
-At a similarity of exactly 0.8 two fingerprints differ in 9.7 bits on average (deviation 2.9), so 17 bits leave out
-about 3 in 1,000 such pairs and fewer above; a test measures it.
+At a similarity of exactly 0.8 two fingerprints differ in 9.7 bits on average (deviation 2.9), so 23 bits leave out
+about one in a million such pairs and fewer above; a test measures the recall.
 
 Words are runs of letters and digits, lower-cased.
 
@@ -29,15 +29,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import join_groups, materialize, salted, salts_seen
+from tidemark.llm.shared import MAX_BROADCAST_ROWS, broadcast_if_small, join_groups, materialize, salted, salts_seen
 
 WORDS = r"[\p{L}\p{N}]+"
 WIDTH = 5
-#: A broadcast table of shingles, blocks or keys holds 40 bytes a row, or 40 MB at this many.
-MAX_BROADCAST_ROWS = 1_000_000
-RADIUS, BLOCKS = 17, 6
+RADIUS, BLOCKS = 23, 8
 FLIPS = RADIUS // BLOCKS
-#: (first bit, number of bits) of the blocks: 11, 11, 11, 11, 10 and 10.
+#: (first bit, number of bits) of the blocks.
 CUTS = [(64 * b // BLOCKS, 64 * (b + 1) // BLOCKS - 64 * b // BLOCKS) for b in range(BLOCKS)]
 KEY = ["doc_id", "th"]
 
@@ -143,4 +141,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     leaking = find_leaks(docs, benchmark, doc_id, text, threshold=threshold).select(F.col("doc_id").alias("_leak")).distinct()
+    leaking = broadcast_if_small(materialize(leaking, "leaks"))
     return docs.join(leaking, F.col(doc_id).cast("long").eqNullSafe(F.col("_leak")), "left_anti")

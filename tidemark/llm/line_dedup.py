@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import join_groups, materialize, salted, salts_seen
+from tidemark.llm.shared import intermediate_tables, join_groups, materialize, remove_tables, salted, salts_seen
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
@@ -113,16 +113,22 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # a text that repeats a stretch may do so within one run of equal minima: it counts twice
     picked = picked.select(*KEY, "m", F.when(F.size(F.array_distinct("h")) < F.size("h"), 2).otherwise(1).alias("c"), F.explode(F.array(begins)).alias("b"))
     runs = picked.select(*KEY, "c", F.explode(F.expr("transform(b, (s, k) -> struct(s as s, coalesce(get(b, k + 1), size(m)) as e, get(m, s) as f))")).alias("r"))
-    runs = materialize(runs.select(*KEY, "c", "r.s", "r.e", "r.f"), "dedup-runs")
+    with intermediate_tables() as used:
+        runs = materialize(runs.select(*KEY, "c", "r.s", "r.e", "r.f"), "dedup-runs")
     # equal texts are one: the one with the smallest id
     texts = runs.where("s = 0").groupBy("th").agg(F.min(F.struct("doc")).alias("a"), F.max(F.struct("doc")).alias("z"))
     texts = materialize(texts.select("th", F.col("a.doc").alias("least"), (F.col("a") != F.col("z")).alias("copied")), "dedup-texts")
-    once = materialize(runs.groupBy("th", "s", "e", "f", "c").agg(F.min(F.struct("doc")).alias("a")).select(F.col("a.doc").alias("doc"), "th", "s", "e", "f", "c"), "dedup-prints")
+    once = runs.groupBy("th", "s", "e", "f", "c").agg(F.min(F.struct("doc")).alias("a")).select(F.col("a.doc").alias("doc"), "th", "s", "e", "f", "c")
+    with intermediate_tables() as last:
+        once = materialize(once, "dedup-prints")
+    remove_tables(docs.sparkSession, used)
     prints = salted(once, "th", "s")
     twice = prints.groupBy("f").agg(F.sum("c").alias("n"), salts_seen()).where("n > 1")
     marks = join_groups(prints, twice, "f").groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
     marks = materialize(marks.select(F.col("doc").alias("_d"), F.col("th").alias("_t"), "_runs"), "dedup-marks")
-    marked = docs.join(marks, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t"))).select(F.col(doc_id), F.col(text), "_runs")
+    remove_tables(docs.sparkSession, last)
+    # runs and flags take far more memory than their files: never to be broadcast for a small file
+    marked = docs.join(marks.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t"))).select(F.col(doc_id), F.col(text), "_runs")
     at = F.expr(f"flatten(transform(_runs, r -> transform(sequence(r.s, r.e - 1), i -> struct(i as i, get(h, i) as x, get(h, i + {RUN - HALF}) as y))))")
     windows = _windows(marked, doc_id, text, "_runs").select(*KEY, F.explode(at).alias("w")).select(*KEY, "w.i", "w.x", "w.y")
     windows = salted(materialize(windows, "dedup-windows"), *KEY, "i")
@@ -137,11 +143,13 @@ def dedup_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     A later copy of a whole text becomes empty; a deleted word takes the blanks before it along.
     """
-    gone = repeated_windows(docs, doc_id, text)
+    with intermediate_tables() as used:
+        gone = repeated_windows(docs, doc_id, text)
     # one flag per word, up to the last deleted one: built in one pass, read by index
     flags = F.expr(f"array_join(transform(starts, (x, k) -> concat(repeat('1', greatest(x - coalesce(get(starts, k - 1), -{RUN}) - {RUN}, 0)), repeat('0', least({RUN}, x - coalesce(get(starts, k - 1), -{RUN}))))), '')".replace("get(starts, k - 1)", "if(k > 0, get(starts, k - 1), null)"))
     gone = materialize(gone.select(F.col("th").alias("_td_th"), F.col("least").alias("_td_least"), F.split(flags, "").alias("_td_flags")), "dedup-flags")
-    joined = docs.join(gone, F.xxhash64(text) == F.col("_td_th"), "left")
+    remove_tables(docs.sparkSession, used)
+    joined = docs.join(gone.hint("merge"), F.xxhash64(text) == F.col("_td_th"), "left")
     pieces = F.regexp_extract_all(F.col(text), F.lit(BLANK + "*" + WORD), F.lit(0))
     kept = F.array_join(F.filter(pieces, lambda x, i: F.coalesce(F.get("_td_flags", i) == "1", F.lit(True))), "")
     kept = F.concat(F.when(F.get("_td_flags", F.lit(0)) == "0", F.regexp_replace(kept, "^" + BLANK + "+", "")).otherwise(kept), F.regexp_extract(F.col(text), BLANK + r"*\z", 0))

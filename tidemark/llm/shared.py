@@ -69,6 +69,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A broadcast table of narrow rows holds some 40 bytes a row, or 40 MB at this many.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if it has few enough rows; beyond that the join is a shuffle."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
+
+
 def salted(rows: DataFrame, *by: str) -> DataFrame:
     """``rows`` with ``_salt``, one of 64 numbers drawn from the columns ``by``: the shares of a hot key."""
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(64)).cast("int"))
