@@ -257,3 +257,12 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert cp.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
     assert cp.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == 24
+
+
+def test_near_copies_in_small_blocks(spark, monkeypatch):
+    import tests.llm.test_llm as base
+    from tidemark.llm import similar
+
+    monkeypatch.setattr(similar, "BLOCK", 2)
+    monkeypatch.setattr(similar, "PIVOTS", 0)
+    base.test_near_copies_by_brute_force(spark, {})
