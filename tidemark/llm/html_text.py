@@ -163,7 +163,8 @@ class Stripper:
             self.piece.append(" ")
         elif tag == "a":
             self.in_link = 1
-        if tag not in VOID and (judgement or tag in CONTAINERS or tag in LISTS or tag == "table"):
+        # an element within a judged one of its name is counted too, so that its end tag does not end the outer one
+        if tag not in VOID and (judgement or tag in CONTAINERS or tag in LISTS or tag == "table" or self.open[tag]):
             self.push(tag, judgement)
 
     def end(self, tag: str) -> None:
