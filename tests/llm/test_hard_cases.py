@@ -16,6 +16,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.decontaminate import find_leaks, simhash, with_shingles
 from tidemark.llm.html_text import Line, extract_text, kept_lines, main_text
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.lm_score import lm_scores
 from tidemark.llm.nbsvm import Features, dual_coordinate_descent, fit, word_shape
 from tidemark.llm.packing import encoder, pack
 from tidemark.llm.shared import intermediate_tables, materialize, remove_tables, text_batches
@@ -43,6 +44,15 @@ def test_intermediate_tables_go(spark):
         spark.read.parquet(made[0]).count()
 
 
+# ---- 4
+def test_lm_counts_summed_in_parts(spark):
+    """A word of every document, in far more chunks than a task may meet at once, among rare, repeated and empty texts."""
+    docs = [(i, f"the {part(i % 40, 30)} the end" * (1 + i % 3)) for i in range(120)] + [(200, None), (201, ""), (5, "the same"), (5, "the same")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [sorted((r["doc_id"], r["n_words"], round(r["log_score"], 9)) for r in lm_scores(df, chunk_chars=900, bucket_chars=n, fan_in=f).collect()) for n, f in ((9000, 3), (9000, 10**6), (10**9, 7))]
+    assert len(rows[0]) == len(docs) and rows[0] == rows[1] == rows[2]
+
+
 # ---- 1
 def test_hosts_of_any_length(spark):
     host = ".".join("a" for _ in range(20_000)) + ".net"

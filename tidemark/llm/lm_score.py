@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 BACKOFF = 0.4
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 LISTS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+LIST_COLUMNS = "bucket long, chunk long, grams binary, counts binary"
 TOTALS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary())])
+TOTAL_COLUMNS = "chunk long, bucket long, totals binary"
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,13 +114,34 @@ def _lists(buckets: int):
     return run
 
 
-def _sums(lists: pa.Table) -> pa.Table:
+def _merged(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct n-grams of some lists (sorted), their sums, and where each list's n-grams stand among them."""
     grams = [np.cumsum(_numbers(x.as_py()), dtype=np.uint64) for x in lists.column("grams")]
     counts = np.concatenate([_numbers(x.as_py()) for x in lists.column("counts")])
-    _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(inverse, counts).astype(np.int64)[inverse]
-    parts = np.split(totals, np.cumsum([len(x) for x in grams])[:-1])
-    return pa.table([lists.column("chunk"), lists.column("bucket"), [_planes(x) for x in parts]], schema=TOTALS)
+    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+    sums = np.bincount(place, counts).astype(np.int64)
+    return distinct, sums, np.split(place, np.cumsum([len(x) for x in grams])[:-1])
+
+
+def _totals(lists: pa.Table, whole: np.ndarray, places: list[np.ndarray]) -> pa.Table:
+    return pa.table([lists.column("chunk"), lists.column("bucket"), [_planes(whole[at]) for at in places]], schema=TOTALS)
+
+
+def _sums(lists: pa.Table) -> pa.Table:
+    _, sums, places = _merged(lists)
+    return _totals(lists, sums, places)
+
+
+def _part_sums(lists: pa.Table) -> pa.Table:
+    """One list for a part of a bucket's lists; the part stands where chunks do."""
+    grams, sums, _ = _merged(lists)
+    row = [[lists.column(c)[0].as_py()] for c in ("bucket", "part")]
+    return pa.table([*row, [_planes(np.diff(grams, prepend=np.uint64(0)))], [_planes(sums)]], schema=LISTS)
+
+
+def _hand_down(lists: pa.Table, totals: pa.Table) -> pa.Table:
+    _, _, places = _merged(lists)
+    return _totals(lists, _numbers(totals.column("totals")[0].as_py()), places)
 
 
 def _scores(docs: pa.Table, totals: pa.Table) -> pa.Table:
@@ -130,16 +153,23 @@ def _scores(docs: pa.Table, totals: pa.Table) -> pa.Table:
     return pa.table([docs.column("doc_id"), sizes, means], schema=SCORES)
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 4_000_000, bucket_chars: int = 24_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 4_000_000, bucket_chars: int = 24_000_000, fan_in: int = 4096) -> DataFrame:
     """(doc_id, n_words, log_score) of every document.
 
     ``chunk_chars`` and ``bucket_chars`` bound what a task holds: the numbers of chunks and of partitions
-    of the count table follow the size of the corpus.
+    of the count table follow the size of the corpus.  A frequent n-gram comes once per chunk: beyond ``fan_in``
+    chunks their lists are summed in parts of so many first, the parts' sums are summed, and the totals are
+    handed down through the parts, so no task meets an n-gram more than ``fan_in`` or chunks / ``fan_in`` times.
     """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = picked.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     chunks, buckets = size // chunk_chars + 1, size // bucket_chars + 1
     dealt = picked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk")
-    lists = dealt.groupBy("chunk").applyInArrow(_lists(buckets), "bucket long, chunk long, grams binary, counts binary")
-    totals = lists.groupBy("bucket").applyInArrow(_sums, "chunk long, bucket long, totals binary")
+    lists = dealt.groupBy("chunk").applyInArrow(_lists(buckets), LIST_COLUMNS)
+    if chunks <= fan_in:
+        totals = lists.groupBy("bucket").applyInArrow(_sums, TOTAL_COLUMNS)
+    else:
+        parts = lists.withColumn("part", F.expr(f"chunk div {fan_in}")).groupBy("bucket", "part")
+        sums = parts.applyInArrow(_part_sums, LIST_COLUMNS).groupBy("bucket").applyInArrow(_sums, TOTAL_COLUMNS)
+        totals = parts.cogroup(sums.groupBy("bucket", "chunk")).applyInArrow(_hand_down, TOTAL_COLUMNS)
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scores, "doc_id long, n_words long, log_score double")
