@@ -377,6 +377,21 @@ def test_no_passage_of_fifty_words_is_left_twice(spark, documents, texts):
     assert all(n == len(t) for t, n in got.values() if t is not None)
 
 
+def test_texts_are_told_apart_in_both_ways(spark, monkeypatch):
+    from tidemark.llm import shared
+
+    part = lambda k, n: " ".join(f"v{k}w{i}" for i in range(n))
+    some = [f"{part(0, 60)} {part(1, 9)}", f"{part(2, 9)}\n{part(0, 60)}", part(3, 70), part(3, 70), None, None, "", " ", part(4, 8)]
+    docs = frame(spark, some)
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    few = [tuple(r) for r in dedup_words(docs).collect()]
+    monkeypatch.setattr(shared, "MAX_BROADCAST_ROWS", 0)
+    many = [tuple(r) for r in dedup_words(docs).collect()]
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(few) == order(many) and len(few) == docs.count()
+    assert dedup_words(docs).columns == docs.columns
+
+
 def test_near_copies_by_brute_force(spark, texts):
     from tidemark.llm.similar import similar_groups
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import intermediate_tables, join_groups, materialize, remove_tables, salted, salts_seen
+from tidemark.llm.shared import intermediate_tables, join_groups, materialize, parted, remove_tables, salted, salts_seen
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
@@ -127,8 +127,10 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     marks = join_groups(prints, twice, "f").groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
     marks = materialize(marks.select(F.col("doc").alias("_d"), F.col("th").alias("_t"), "_runs"), "dedup-marks")
     remove_tables(docs.sparkSession, last)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t"))
+    holding, _ = parted(docs.select(doc_id, text), marks.select("_d", "_t"), same)
     # runs and flags take far more memory than their files: never to be broadcast for a small file
-    marked = docs.join(marks.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t"))).select(F.col(doc_id), F.col(text), "_runs")
+    marked = holding.join(marks.hint("merge"), same).select(F.col(doc_id), F.col(text), "_runs")
     at = F.expr(f"flatten(transform(_runs, r -> transform(sequence(r.s, r.e - 1), i -> struct(i as i, get(h, i) as x, get(h, i + {RUN - HALF}) as y))))")
     windows = _windows(marked, doc_id, text, "_runs").select(*KEY, F.explode(at).alias("w")).select(*KEY, "w.i", "w.x", "w.y")
     windows = salted(materialize(windows, "dedup-windows"), *KEY, "i")
@@ -149,9 +151,12 @@ def dedup_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     flags = F.expr(f"array_join(transform(starts, (x, k) -> concat(repeat('1', greatest(x - coalesce(get(starts, k - 1), -{RUN}) - {RUN}, 0)), repeat('0', least({RUN}, x - coalesce(get(starts, k - 1), -{RUN}))))), '')".replace("get(starts, k - 1)", "if(k > 0, get(starts, k - 1), null)"))
     gone = materialize(gone.select(F.col("th").alias("_td_th"), F.col("least").alias("_td_least"), F.split(flags, "").alias("_td_flags")), "dedup-flags")
     remove_tables(docs.sparkSession, used)
-    joined = docs.join(gone.hint("merge"), F.xxhash64(text) == F.col("_td_th"), "left")
+    same = F.xxhash64(text) == F.col("_td_th")
+    touched, others = parted(docs, gone.select("_td_th"), same)
+    joined = touched.join(gone.hint("merge"), same, "left")
     pieces = F.regexp_extract_all(F.col(text), F.lit(BLANK + "*" + WORD), F.lit(0))
     kept = F.array_join(F.filter(pieces, lambda x, i: F.coalesce(F.get("_td_flags", i) == "1", F.lit(True))), "")
     kept = F.concat(F.when(F.get("_td_flags", F.lit(0)) == "0", F.regexp_replace(kept, "^" + BLANK + "+", "")).otherwise(kept), F.regexp_extract(F.col(text), BLANK + r"*\z", 0))
     cut = F.when(F.col("_td_th").isNull(), F.col(text)).when(~F.col(doc_id).cast("long").eqNullSafe(F.col("_td_least")), F.lit("")).when(F.col("_td_flags").isNull(), F.col(text)).otherwise(kept)
-    return joined.withColumn(text, cut).drop("_td_th", "_td_least", "_td_flags")
+    out = joined.withColumn(text, cut).drop("_td_th", "_td_least", "_td_flags")
+    return out if others is None else out.union(others)

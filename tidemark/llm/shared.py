@@ -78,6 +78,17 @@ def broadcast_if_small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
 
 
+def parted(rows: DataFrame, keys: DataFrame, same: Column) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` that meet a row of ``keys`` (a written table) and the others, told apart before a shuffle by a broadcast.
+
+    Beyond ``MAX_BROADCAST_ROWS`` keys all rows come back in the first table, and the second is None: the join
+    that follows then shuffles them all.
+    """
+    if keys.count() > MAX_BROADCAST_ROWS:
+        return rows, None
+    return rows.join(F.broadcast(keys), same, "left_semi"), rows.join(F.broadcast(keys), same, "left_anti")
+
+
 def salted(rows: DataFrame, *by: str) -> DataFrame:
     """``rows`` with ``_salt``, one of 64 numbers drawn from the columns ``by``: the shares of a hot key."""
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(64)).cast("int"))
