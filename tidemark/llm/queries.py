@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import find_leaks
+from tidemark.llm.fim import fill_in_middle, restored
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.lm_score import lm_scores
@@ -73,6 +74,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_share=80)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored("output", "form")).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_url_filter, op2_quality_rules, op3_quality_classifier, op4_lm_score, op5_simhash_dedup, op6_html_text, op7_decontaminate, op8_packing, op9_line_dedup, op10_token_counts]
+    ops = [op1_url_filter, op2_quality_rules, op3_quality_classifier, op4_lm_score, op5_simhash_dedup, op6_html_text, op7_decontaminate, op8_packing, op9_line_dedup, op10_token_counts, op11_fill_in_middle]
     return {f.__name__: f for f in [*ops, pipeline]}
 
 
@@ -190,6 +197,23 @@ kept AS (SELECT r, count(*) AS n_lines, count(gone.pos) AS n_removed, string_agg
 SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text FROM docs LEFT JOIN kept USING (r)
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS k1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS k2,
+         ('0x' || h[17:24])::BIGINT % 100 AS d3, ('0x' || h[25:32])::BIGINT % 100 AS d4 FROM docs
+), parts AS (
+  SELECT doc_id, text, n, array_to_string(units[1:least(k1, k2)], '') AS prefix, array_to_string(units[least(k1, k2) + 1:greatest(k1, k2)], '') AS middle,
+         array_to_string(units[greatest(k1, k2) + 1:n], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d3 >= 50 THEN 'plain' WHEN d4 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256 FROM parts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_lm_score": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_lm_score": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
