@@ -1,0 +1,57 @@
+"""Ranks over all rows: text, ties, groups, sizes of ranges."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import samples as sm
+
+
+def ordered(rows, keys):
+    return sorted(rows, key=lambda r: [(r[k] is not None, r[k]) for k in keys])
+
+
+@pytest.mark.parametrize("order", [["name"], ["tied", "name"], ["tied"], ["when", "name", "n"]])
+def test_ranks_in_many_ranges(spark, order):
+    df = spark.range(3000).select(F.concat(F.lit("n"), (F.col("id") * 7919 % 3000).cast("string")).alias("name"), F.lit(1).alias("tied"), F.timestamp_seconds(F.col("id") % 50).alias("when"), F.when(F.col("id") % 9 > 0, F.col("id")).alias("n"))
+    rows = sm.global_ranks(df, order, "rank", rows_per_range=100).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(3000))
+    by_rank = sorted(rows, key=lambda r: r["rank"])
+    assert [[r[k] for k in order] for r in by_rank] == [[r[k] for k in order] for r in ordered(rows, order)]
+
+
+def test_ranges_are_even_on_one_tied_value(spark):
+    """All rows alike: no range holds more than twice the mean."""
+    df = spark.range(20_000).select(F.lit("same").alias("a"), F.lit(0).alias("b"))
+    placed, offsets, total = sm.ranges_in_order(df, ["a", "b"], rows_per_range=1000)
+    sizes = [r["count"] for r in placed.groupBy(F.shiftright("_at", 33).alias("r")).count().collect()]
+    assert total == 20_000 and len(sizes) == 20 == offsets.count() and max(sizes) <= 2000
+
+
+def test_the_input_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.range(500).mapInPandas(count, "id long")
+    assert sm.chrono_split(rows, "id", [], 0.2, rows_per_range=50).where("split = 'train'").count() == 400
+    assert seen.value == 500
+
+
+def test_batches_within_groups_by_window(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 3 > 0, "hot").otherwise("b")).alias("g"), (F.col("id") * 37 % 2000).alias("t"))
+    rows = sm.batch_ids(df, ["t"], 50, ["g"], rows_per_range=130).collect()
+    for g in (None, "hot", "b"):
+        mine = sorted((r["t"], r["batch_id"]) for r in rows if r["g"] == g)
+        assert [b for _, b in mine] == [i // 50 for i in range(len(mine))]
+    assert len(rows) == 2000
+
+
+def test_empty_and_single(spark):
+    none = spark.range(0)
+    assert sm.global_ranks(none, ["id"], "rank").count() == 0 and sm.chrono_split(none, "id", [], 0.2).count() == 0
+    assert sm.evenly_spaced(none, ["id"], 3).count() == 0
+    assert [tuple(r) for r in sm.global_ranks(spark.range(1), ["id"], "rank").collect()] == [(0, 0)]
+    assert sorted(r[0] for r in sm.evenly_spaced(spark.range(100), ["id"], 4, rows_per_range=7).collect()) == [0, 33, 66, 99]

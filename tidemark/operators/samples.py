@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import written
+
 
 def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows without NULL or NaN in ``cols``."""
@@ -58,28 +60,42 @@ def sliding_samples(df: DataFrame, loc: list[str], ts: str, feats: list[str], ta
     return out.select(*loc, F.col(ts).alias("anchor_ts"), F.col("_inputs").alias("inputs"), targets)
 
 
-def global_ranks(df: DataFrame, order: list[str], rank: str, buckets: int = 200) -> DataFrame:
-    """Adds ``rank``, from 0, in the order of all rows; the first column of ``order`` is a number, a date or a time.
+def ranges_in_order(df: DataFrame, order: list[str | Column], rows_per_range: int = 1_000_000) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with ``_at``, offsets of the ranges, number of rows): all rows in order, cut in ranges of about equal size.
 
-    Rows are dealt to ranges of that column (cut at its approximate percentiles) and ranked inside them; what comes
-    before a range is added.  No task sorts all rows, and the driver sees the cuts alone.
+    The input is computed once and written with a number per row, so that rows which tie in all of ``order`` still lie
+    in different ranges; the ranges are cut at values sampled from that table.  ``_at`` holds the range and the
+    place in it; with its range's ``_before`` added that is the row's place among all.  No task sorts more than a
+    range, and the driver sees nothing but the number of rows.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(order[0], cuts).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(found))]) if found else F.array().cast("array<int>")
-    of = F.size(F.filter(bounds, lambda c: c < F.col(order[0]))) if found else F.lit(0)
-    dealt = df.withColumn("_bucket", of)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")  # over the buckets
-    ranked = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    ranked = ranked.join(F.broadcast(sizes.select("_bucket", before.alias("_before"))), "_bucket")
-    return ranked.withColumn(rank, F.col("_before") + F.col("_rn") - 1).drop("_bucket", "_before", "_rn")
-
-
-def chrono_split(df: DataFrame, anchor: str, tie_cols: list[str], val_fraction: float) -> DataFrame:
+    numbered = written(df.withColumn("_id", F.monotonically_increasing_id()), "ranked-input")
+    total = numbered.count()
+    keys = [*order, "_id"]
+    ranges = max(1, -(-total // rows_per_range), min(32, total // 2000))
+    sorted_ranges = numbered.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    placed = written(sorted_ranges.withColumn("_at", F.monotonically_increasing_id()).drop("_id"), "ranked")
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")  # over one row per range
+    return placed, sizes.select("_range", before.alias("_before")), total
+
+
+def _with_places(placed: DataFrame, offsets: DataFrame, rank: str) -> DataFrame:
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    ranked = placed.join(F.broadcast(offsets), F.shiftright("_at", 33) == F.col("_range"))  # a row per million ranked
+    return ranked.withColumn(rank, at).drop("_at", "_range", "_before")
+
+
+def global_ranks(df: DataFrame, order: list[str | Column], rank: str, rows_per_range: int = 1_000_000) -> DataFrame:
+    """Adds ``rank``, from 0, in the order of all rows; ties get different ranks.  Columns of any kind that has an order."""
+    placed, offsets, _ = ranges_in_order(df, order, rows_per_range)
+    return _with_places(placed, offsets, rank)
+
+
+def chrono_split(df: DataFrame, anchor: str, tie_cols: list[str], val_fraction: float, rows_per_range: int = 1_000_000) -> DataFrame:
     """Adds ``split``: the first int(n (1 - f)) rows by anchor (ties by ``tie_cols``) are train, the rest val."""
-    cut = int(df.count() * (1.0 - val_fraction))
-    return global_ranks(df, [anchor, *tie_cols], "_rank").withColumn("split", F.when(F.col("_rank") < cut, "train").otherwise("val")).drop("_rank")
+    placed, offsets, total = ranges_in_order(df, [anchor, *tie_cols], rows_per_range)
+    train = F.col("_rank") < int(total * (1.0 - val_fraction))
+    return _with_places(placed, offsets, "_rank").withColumn("split", F.when(train, "train").otherwise("val")).drop("_rank")
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -98,19 +114,24 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(known[c]["mean"])) / F.lit(known[c]["std"]) for c in cols})
 
 
-def batch_ids(df: DataFrame, order: list[str], size: int, within: list[str] | None = None) -> DataFrame:
-    """Fixed-size batches in order; ``within`` numbers them per group."""
-    if not within:
-        return global_ranks(df, order, "_rank").withColumn("batch_id", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
-    w = Window.partitionBy(*within).orderBy(*order)
-    return df.withColumn("batch_id", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+def batch_ids(df: DataFrame, order: list[str], size: int, within: list[str] | None = None, rows_per_range: int = 1_000_000) -> DataFrame:
+    """Fixed-size batches in order; ``within`` numbers them per group, whose first rank is taken off, however large it is."""
+    ranked = global_ranks(df, [*(within or []), *order], "_rank", rows_per_range)
+    if within:
+        same = {c: f"_k{i}" for i, c in enumerate(within)}
+        starts = ranked.groupBy(*within).agg(F.min("_rank").alias("_first")).withColumnsRenamed(same)
+        meets = F.lit(True)
+        for c, k in same.items():
+            meets = meets & F.col(c).eqNullSafe(F.col(k))
+        ranked = ranked.join(starts, meets).withColumn("_rank", F.col("_rank") - F.col("_first")).drop("_first", *same.values())
+    return ranked.withColumn("batch_id", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
 
-def evenly_spaced(df: DataFrame, order: list[str], n: int) -> DataFrame:
+def evenly_spaced(df: DataFrame, order: list[str], n: int, rows_per_range: int = 1_000_000) -> DataFrame:
     """n rows at evenly spaced ranks, both ends included."""
-    total = df.count()
+    placed, offsets, total = ranges_in_order(df, order, rows_per_range)
     picks = sorted({int(i * (total - 1) / (n - 1)) for i in range(n)} if n > 1 else {0})
-    return global_ranks(df, order, "_rank").where(F.col("_rank").isin(picks)).drop("_rank")
+    return _with_places(placed, offsets, "_rank").where(F.col("_rank").isin(picks)).drop("_rank")
 
 
 def persistence(samples: DataFrame, target: str, seq_out: int | None = None) -> DataFrame:

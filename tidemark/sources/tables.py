@@ -31,6 +31,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new shared folder and read back: computed once, whatever reads it and whichever executor is lost."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_versions(spark: SparkSession, root: str, keep: Iterable[str]) -> None:
     """Delete the versions under ``root`` that ``swap_table`` wrote, but for the paths in ``keep``."""
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
