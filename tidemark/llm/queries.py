@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.best_fit import best_fit
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.fim import fill_in_middle, restored
 from tidemark.llm.html_text import extract_text
@@ -15,6 +16,7 @@ from tidemark.llm.lm_score import lm_scores
 from tidemark.llm.nbsvm import quality_scores
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.resampling import resample
 from tidemark.llm.shared import table
 from tidemark.llm.simhash_dedup import hex_digits, near_duplicates
 from tidemark.llm.token_counts import token_counts
@@ -80,6 +82,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored("output", "form")).alias("restored_sha256"))
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_n=1, buckets=10_000, seed=2024, percent=10, min_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_url_filter, op2_quality_rules, op3_quality_classifier, op4_lm_score, op5_simhash_dedup, op6_html_text, op7_decontaminate, op8_packing, op9_line_dedup, op10_token_counts, op11_fill_in_middle]
+    ops = [op1_url_filter, op2_quality_rules, op3_quality_classifier, op4_lm_score, op5_simhash_dedup, op6_html_text, op7_decontaminate, op8_packing, op9_line_dedup, op10_token_counts, op11_fill_in_middle, op12_best_fit, op13_resampling]
     return {f.__name__: f for f in [*ops, pipeline]}
 
 
@@ -214,6 +225,35 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefi
        sha256(prefix || middle || suffix) AS restored_sha256 FROM parts
 """
 
+#: CRC-32 by bytes, its table from the polynomial.
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8)::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i::BIGINT) ORDER BY i) AS t FROM range(256) AS r(i)
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), tokens AS (SELECT r, w, count(*) AS c FROM (SELECT r, unnest(ws) AS w FROM docs) GROUP BY r, w
+), target AS (
+  SELECT w, count(*) AS c FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w
+), vocabulary AS (
+  SELECT w, [('0x' || hex(w)[2 * k - 1:2 * k])::BIGINT for k in range(1, strlen(w) + 1)] AS bytes FROM (SELECT w FROM tokens UNION SELECT w FROM target)
+), bucketed AS (
+  SELECT w, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM vocabulary, crc
+), s AS (SELECT bucket, sum(c)::BIGINT AS n FROM tokens JOIN bucketed USING (w) GROUP BY bucket
+), t AS (SELECT bucket, sum(c)::BIGINT AS n FROM target JOIN bucketed USING (w) GROUP BY bucket
+), totals AS (SELECT (SELECT coalesce(sum(n), 0)::DOUBLE FROM s) AS s_all, (SELECT coalesce(sum(n), 0)::DOUBLE FROM t) AS t_all
+), gains AS (
+  SELECT w, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s.n, 0)::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM bucketed LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), totals
+), weighed AS (
+  SELECT docs.r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN (SELECT r, sum(gain * c)::BIGINT AS weight FROM tokens JOIN gains USING (w) GROUP BY r) AS x ON docs.r = x.r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place FROM weighed
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM weighed WHERE n_features >= 20) // 100 THEN place END AS rank FROM ranked
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_lm_score": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_lm_score": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_resampling": OP13_SQL}
