@@ -10,6 +10,7 @@ from tidemark.operators import upsert as up
 from tidemark.plans import jobs
 from tidemark.sources import bronze as br
 from tidemark.sources import tables as tb
+from tidemark.sources.warehouse import Warehouse
 
 M = ["temperature_2m", "rain"]
 
@@ -93,19 +94,14 @@ def test_nothing_landed(spark, tmp_path):
     assert not (tmp_path / "silver").exists() and not (tmp_path / "gold").exists()
 
 
-def test_old_versions_go(spark, tmp_path):
-    for n in range(4):
-        jobs._publish(spark.range(n), str(tmp_path), "t")
-    assert jobs.current_table(spark, str(tmp_path), "t").count() == 3
-    assert len(list((tmp_path / "t").glob("v-*"))) == 2
-
-
 def test_measures_and_full_refresh(spark, tmp_path):
     assert br.MEASURES == ["temperature_2m", "relative_humidity_2m", "dew_point_2m", "precipitation", "pressure_msl", "cloud_cover", "wind_speed_10m", "wind_direction_10m", "wind_gusts_10m", "shortwave_radiation"]
     assert all(f"{m} DOUBLE" in tb.STAR["fact"][0] for m in br.MEASURES)
+    house = Warehouse(spark, str(tmp_path))
     for n in (5, 2):
-        tb.replace_table(spark.range(n).withColumn("p", F.lit("x")), f"{tmp_path}/t", ["p"])
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+        rows = spark.range(n).select(F.col("id").alias("location_id"), F.lit(1).cast("long").alias("time_id"), F.lit(f"d{n}").alias("dataset"), *[F.lit(None).cast("double").alias(m) for m in br.MEASURES])
+        house.refresh("fact", rows)
+    assert house.table("fact").count() == 2 and not list((tmp_path / "fact").glob("dataset=d5"))
     (tmp_path / "places.json").write_text('[{"region": "am", "lat": 40.1, "lon": 44.5, "population": 5, "capital": "Y"}, {"region": "b", "lat": 1, "lon": 2}]')
     places = br.read_locations(spark, f"{tmp_path}/places.json").orderBy("region").collect()
     assert [(p["region"], p["lat"], p["population"], p["capital"]) for p in places] == [("am", 40.1, 5, "Y"), ("b", 1.0, None, None)]

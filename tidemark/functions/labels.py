@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import utc_time
+
 
 def cell_id(lat: str, lon: str) -> Column:
     return F.format_string("lat=%.4f/lon=%.4f", F.col(lat), F.col(lon))
 
 
 def run_stamp(ts: str) -> Column:
-    return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+    digits = F.regexp_replace(F.substring(utc_time(ts).cast("string"), 1, 19), "[-:]", "")
+    return F.concat(F.replace(digits, F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def version_id(ts: str) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss'Z'")
+    text = F.substring(utc_time(ts).cast("string"), 1, 19)
+    return F.concat(F.translate(text, " :", "T-"), F.lit("Z"))
 
 
 def walkforward_version(version: Column) -> Column:
@@ -23,7 +27,8 @@ def walkforward_version(version: Column) -> Column:
 
 
 def snapshot_label(ts: str, hours: str) -> Column:
-    return F.concat(F.date_format(ts, "MMM dd, HH:mm"), F.lit(" · "), F.col(hours).cast("string"), F.lit("h forecast"))
+    t = utc_time(ts)
+    return F.concat(F.date_format(F.to_date(t), "MMM dd"), F.lit(", "), F.substring(t.cast("string"), 12, 5), F.lit(" · "), F.col(hours).cast("string"), F.lit("h forecast"))
 
 
 def encode_key(kind: str, *parts: str | Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.forecast import WindowModel, predict
+
 
 def actual_values(fact: DataFrame, dim_time: DataFrame, v: str) -> DataFrame:
     """(location_id, target_time, observed) of archive rows that have the measure."""
@@ -66,39 +68,6 @@ def fit_horizons(train: DataFrame, feats: list[str], seq_out: int, regressor: Ca
     return {h: Pipeline(stages=[assembler, make(f"h{h}")]).fit(flat.withColumn(f"h{h}", F.get("targets", F.lit(h - 1)))) for h in range(1, seq_out + 1)}
 
 
-def scaled_vector(samples: DataFrame, stats: dict, feats: list[str], out: str) -> DataFrame:
-    """Adds ``out``: all values of a window's inputs, scaled, as one vector."""
-    from pyspark.ml.functions import array_to_vector
-
-    step = lambda i: F.array(*[(i[f].cast("double") - F.lit(stats[f]["mean"])) / F.lit(stats[f]["std"]) for f in feats])
-    return samples.withColumn(out, array_to_vector(F.flatten(F.transform("inputs", step))))
-
-
-def fit_windows(samples: DataFrame, feats: list[str], seq_out: int, tie_cols: list[str], val_fraction: float = 0.2, regressor: Callable | None = None) -> tuple[dict, dict, float]:
-    """(models, scaler, validation error): one Spark ML model per horizon over all scaled values of a window.
-
-    The split is chronological, the scaler is fitted on the training windows alone, and the error is the mean square over
-    the validation windows and all horizons.  Without windows on either side nothing is fitted.
-    """
-    from pyspark.ml.regression import LinearRegression
-
-    from tidemark.operators.samples import chrono_split, fit_window_scaler
-
-    split = chrono_split(samples, "anchor_ts", tie_cols, val_fraction)
-    train, val = split.where("split = 'train'"), split.where("split = 'val'")
-    if train.isEmpty() or val.isEmpty():
-        raise ValueError("no training or no validation windows")
-    stats = {r["column"]: r.asDict() for r in fit_window_scaler(train, feats).collect()}  # one row per feature column
-    make = regressor or (lambda label: LinearRegression(featuresCol="_x", labelCol=label, predictionCol="_pred", regParam=1e-6))
-    rows, models = scaled_vector(train, stats, feats, "_x"), {}
-    scored = scaled_vector(val, stats, feats, "_x").withColumn("_e", F.lit(0.0))
-    for h in range(1, seq_out + 1):
-        label = F.get("targets", F.lit(h - 1))
-        models[h] = make(f"h{h}").fit(rows.withColumn(f"h{h}", label))
-        scored = models[h].transform(scored).withColumn("_e", F.col("_e") + (F.col("_pred") - label) ** 2).drop("_pred")
-    return models, stats, scored.agg((F.avg("_e") / seq_out).alias("e")).first()["e"]
-
-
 def holdout_report(samples: DataFrame, target: str, eps: float = 1e-3) -> DataFrame:
     """Errors of scored hold-out samples (inputs, targets, preds) beside those of persistence.
 
@@ -113,10 +82,12 @@ def holdout_report(samples: DataFrame, target: str, eps: float = 1e-3) -> DataFr
     return grouped.withColumn("h_ahead", F.coalesce("h_ahead", F.lit(0)))
 
 
-def score(samples: DataFrame, models: dict, feats: list[str]) -> DataFrame:
-    """Adds ``preds`` in horizon order; refuses to run without models."""
+def score(samples: DataFrame, models: object, feats: list[str]) -> DataFrame:
+    """Adds ``preds`` in horizon order, by a ``WindowModel`` or by one Spark ML model per horizon; refuses to run without."""
     if not models:
         raise ValueError("no fitted model")
+    if isinstance(models, WindowModel):
+        return predict(samples, models, feats)
     out = samples.select("*", *[F.element_at("inputs", -1)[f].cast("double").alias(f) for f in feats if f not in samples.columns])
     for model in models.values():
         out = model.transform(out).drop("_x")

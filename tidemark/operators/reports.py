@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import utc_date
+
 
 def latest_per_location(fact: DataFrame, dim_loc: DataFrame, dim_time: DataFrame, v: str) -> DataFrame:
     """Every location with its newest archive value, or NULL if there is none."""
@@ -79,7 +81,7 @@ def rows_per_partition(df: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def provenance(df: DataFrame, loc: list[str], ts: str) -> DataFrame:
-    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(*loc).alias("n_locations"), F.min(F.to_date(ts)).alias("first_date"), F.max(F.to_date(ts)).alias("last_date"))
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(*loc).alias("n_locations"), F.min(utc_date(ts)).alias("first_date"), F.max(utc_date(ts)).alias("last_date"))
 
 
 def bounds(df: DataFrame, v: str, lo: float = 0.0, hi: float = 30.0) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import instant
 from tidemark.sources.tables import written
 
 
@@ -35,7 +36,7 @@ def anchors(df: DataFrame, loc: list[str], ts: str, seq_in: int, stride: int = 1
 def anchors_between(df: DataFrame, ts: str, lo: str | Column | None = None, hi: str | Column | None = None) -> DataFrame:
     for bound, test in ((lo, "__ge__"), (hi, "__le__")):
         if bound is not None:
-            value = bound if isinstance(bound, Column) else F.lit(bound).cast("timestamp")
+            value = bound if isinstance(bound, Column) else instant(F.lit(bound).cast("timestamp_ntz"))
             df = df.where(getattr(F.col(ts), test)(value))
     return df
 
@@ -85,6 +86,12 @@ def _with_places(placed: DataFrame, offsets: DataFrame, rank: str) -> DataFrame:
     return ranked.withColumn(rank, at).drop("_at", "_range", "_before")
 
 
+def row_at(placed: DataFrame, offsets: DataFrame, rank: int) -> Row:
+    """The row of this rank; only its range is read for it."""
+    of = offsets.where(F.col("_before") <= rank).agg(F.max(F.struct("_before", "_range")).alias("r")).first()["r"]
+    return placed.where(F.col("_at") == (of["_range"] << 33) + rank - of["_before"]).first()
+
+
 def global_ranks(df: DataFrame, order: list[str | Column], rank: str, rows_per_range: int = 1_000_000) -> DataFrame:
     """Adds ``rank``, from 0, in the order of all rows; ties get different ranks.  Columns of any kind that has an order."""
     placed, offsets, _ = ranges_in_order(df, order, rows_per_range)

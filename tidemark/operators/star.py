@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import add_calendar
+from tidemark.functions.calendar import add_calendar, utc_date
 
 
 def location_dim(df: DataFrame, loc: list[str], attrs: list[str], ts: str) -> DataFrame:
@@ -15,7 +15,7 @@ def location_dim(df: DataFrame, loc: list[str], attrs: list[str], ts: str) -> Da
 
 def time_dim(df: DataFrame, ts: str) -> DataFrame:
     times = df.select(F.col(ts).alias("observed_at")).where("observed_at is not null").distinct()
-    return add_calendar(times.withColumn("date", F.to_date("observed_at")), "observed_at", "dim")
+    return add_calendar(times.withColumn("date", utc_date("observed_at")), "observed_at", "dim")
 
 
 def build_fact(silver: DataFrame, dim_loc: DataFrame, dim_time: DataFrame, loc: list[str], measures: list[str]) -> DataFrame:

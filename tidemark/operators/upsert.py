@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that share a key the smallest."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]) if rest else df.distinct()
+    return one.select(*df.columns)
+
+
 def absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``; of rows that share a key the smallest."""
-    rest = [c for c in new.columns if c not in keys]
-    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]) if rest else new.distinct()
-    return one.select(*new.columns).join(existing.select(*keys).distinct(), keys, "left_anti")
+    return one_per_key(new, keys).join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,11 +38,11 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str |
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def assign_keys(new: DataFrame, existing: DataFrame, natural: list[str], key: str) -> DataFrame:
-    """Existing rows with their ids, and new natural keys numbered on from the largest id, in key order.
+def number_new(new: DataFrame, existing: DataFrame, natural: list[str], key: str) -> DataFrame:
+    """The natural keys of ``new`` that ``existing`` lacks, numbered on from its largest id, in key order.
 
-    Only new keys are numbered.  They are ranked inside ranges of the first key column, and the ranges'
-    offsets are added, so no single task sorts all keys.
+    They are ranked inside ranges of the first key column, and the ranges' offsets are added, so no single task
+    sorts all keys.
     """
     fresh = absent(existing, new, natural)
     first = natural[0]
@@ -45,8 +50,12 @@ def assign_keys(new: DataFrame, existing: DataFrame, natural: list[str], key: st
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     largest = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).first()["m"]  # one number
     ranked = fresh.withColumn("_rn", F.row_number().over(Window.partitionBy(first).orderBy(*natural[1:] or [first])))
-    numbered = ranked.join(before, first, "left").withColumn(key, (F.lit(largest) + F.coalesce("_before", F.lit(0)) + F.col("_rn")).cast("long")).drop("_before", "_rn")
-    return existing.unionByName(numbered.select(*existing.columns))
+    return ranked.join(before, first, "left").withColumn(key, (F.lit(largest) + F.coalesce("_before", F.lit(0)) + F.col("_rn")).cast("long")).drop("_before", "_rn").select(*existing.columns)
+
+
+def assign_keys(new: DataFrame, existing: DataFrame, natural: list[str], key: str) -> DataFrame:
+    """Existing rows with their ids, and new natural keys numbered by ``number_new``."""
+    return existing.unionByName(number_new(new, existing, natural, key))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

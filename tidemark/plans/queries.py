@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels as lb
-from tidemark.functions.calendar import add_calendar
+from tidemark.functions.calendar import add_calendar, instant, utc_date, utc_hour
 from tidemark.operators import coverage as cov
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
@@ -43,7 +43,7 @@ class Views:
 
     def raw(self) -> DataFrame:
         e = self.table("events")
-        ts = F.col("ts").cast("timestamp")
+        ts = instant("ts")
         return e.select(
             F.concat(F.lit("r"), (F.col("user_id") % 7).cast("string")).alias("region"),
             F.when(F.col("event_id") % 4 == 0, "forecast").otherwise("archive").alias("dataset"),
@@ -51,7 +51,7 @@ class Views:
             (F.col("user_id") * F.lit(0.25)).alias("lat"),
             (F.col("user_id") * F.lit(0.5) + 40).alias("lon"),
             ((F.col("event_id") % 3) * F.lit(100.0)).alias("elevation"),
-            F.date_trunc("hour", ts).alias("observed_at"),
+            utc_hour("ts").alias("observed_at"),
             F.col("value").alias(V),
             ts.alias("run_ts"),
             "event_id",
@@ -59,11 +59,11 @@ class Views:
 
     def silver(self) -> DataFrame:
         rows = ft.dedupe_latest(self.raw(), [*SERIES, "observed_at"], [F.desc("run_ts"), F.desc("event_id")])
-        return rows.drop("run_ts", "event_id").withColumn("date", F.to_date("observed_at"))
+        return rows.drop("run_ts", "event_id").withColumn("date", utc_date("observed_at"))
 
     def dense(self) -> DataFrame:
         """Hourly means per event type, as archive rows of five places."""
-        e = self.table("events").select(F.col("event_type").alias("region"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("observed_at"), F.col("value").cast("decimal(18,2)").alias("d"))
+        e = self.table("events").select(F.col("event_type").alias("region"), utc_hour("ts").alias("observed_at"), F.col("value").cast("decimal(18,2)").alias("d"))
         means = e.groupBy("region", "observed_at").agg((F.sum("d").cast("double") / F.count("*")).alias(V), F.count("*").cast("double").alias("n"))
         return means.withColumns({"dataset": F.lit("archive"), "lat": F.length("region").cast("double"), "lon": F.lit(44.0), "elevation": F.lit(100.0)})
 
@@ -71,7 +71,7 @@ class Views:
         """The dense series with all ten measures; gusts are missing where an hour has one event."""
         others = {m: F.col(V) + F.lit(float(k)) for k, m in enumerate(br.MEASURES) if m != V}
         gusts = F.when(F.col("n") > 1, others["wind_gusts_10m"])
-        return self.dense().withColumns({**others, "wind_gusts_10m": gusts}).withColumn("date", F.to_date("observed_at"))
+        return self.dense().withColumns({**others, "wind_gusts_10m": gusts}).withColumn("date", utc_date("observed_at"))
 
     def lake(self) -> str:
         """The root of a lake that the jobs have built from landed documents, once per session and input."""
@@ -79,7 +79,7 @@ class Views:
         if key not in LAKES:
             root = tb.new_folder(self.spark, "lake")
             docs = br.pack_hourly(self.wide(), ["region", "date", "lat", "lon", "elevation"], "observed_at", br.MEASURES)
-            docs = docs.select(F.lit("am").alias("region"), F.lit("archive").alias("dataset"), F.col("region").alias("marz"), F.date_format("date", "yyyyMMdd").alias("range"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "elevation", "hourly")
+            docs = docs.select(F.lit("am").alias("region"), F.lit("archive").alias("dataset"), F.col("region").alias("marz"), F.translate(F.col("date").cast("string"), "-", "").alias("range"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "elevation", "hourly")
             br.land_bronze(docs, f"{root}/bronze")
             jobs.bronze_to_silver(self.spark, f"{root}/bronze", f"{root}/silver")
             jobs.silver_to_gold(self.spark, f"{root}/silver", f"{root}/gold")
@@ -111,7 +111,7 @@ class Views:
 
     def filled(self) -> DataFrame:
         fact, _, time = self.star(self.dense())
-        return ev.backfill_actuals(self.preds(), fact, time, V, now=F.lit("2024-03-01").cast("timestamp"))
+        return ev.backfill_actuals(self.preds(), fact, time, V, now=instant(F.lit("2024-03-01").cast("timestamp_ntz")))
 
 
 CTES = {
@@ -185,7 +185,7 @@ query("w9_dedupe_latest", ["raw", "silver"], "SELECT region, dataset, lat, lon,
 
 # ---- bronze ------------------------------------------------------------------------------------
 def packed(v: Views) -> DataFrame:
-    return br.pack_hourly(v.dense().withColumn("date", F.to_date("observed_at")), ["region", "date"], "observed_at", [V, "n"])
+    return br.pack_hourly(v.dense().withColumn("date", utc_date("observed_at")), ["region", "date"], "observed_at", [V, "n"])
 
 
 query("f7_flatten_hourly", ["dense"], "SELECT region, observed_at, temperature_2m, n FROM dense")(lambda v: br.flatten_hourly(packed(v), [V, "n"], keep=["region"]))
@@ -319,7 +319,7 @@ query("w11_chrono_split", ["dense", "ranked", "windows", "samples"], ", r AS (SE
 query("p6_trim_to_cutoff", None, "SELECT event_id FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")(lambda v: sm.trim_to_cutoff(v.table("events"), "ts", 7).select("event_id"))
 query("p5_complete_rows", ["raw", "silver"], ", l AS (SELECT *, lag(temperature_2m, 3) OVER (PARTITION BY region, dataset, lat, lon ORDER BY observed_at) AS lag3 FROM silver) SELECT region, dataset, lat, observed_at FROM l WHERE lag3 IS NOT NULL AND temperature_2m IS NOT NULL")(
     lambda v: sm.complete_rows(ft.add_lags(v.silver(), SERIES, "observed_at", V, (3,)), [V, f"{V}_lag_3h"]).select("region", "dataset", "lat", "observed_at"))
-query("p7_anchors_between", None, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 12:00:00'")(lambda v: sm.anchors_between(v.table("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "2024-01-05", "2024-01-20 12:00:00").select("event_id"))
+query("p7_anchors_between", None, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 12:00:00'")(lambda v: sm.anchors_between(v.table("events").withColumn("ts", instant("ts")), "ts", "2024-01-05", "2024-01-20 12:00:00").select("event_id"))
 query("a17_fit_scaler", ["dense"], """SELECT 'temperature_2m' AS "column", round(avg(temperature_2m), 6) AS mean, round(stddev_pop(temperature_2m), 6) AS std FROM dense UNION ALL SELECT 'n', round(avg(n), 6), round(stddev_pop(n), 6) FROM dense""")(
     lambda v: sm.fit_scaler(v.dense(), [V, "n"]).select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")))
 query("a17_window_scaler", ["dense", "ranked", "windows", "samples"], """SELECT 'temperature_2m' AS "column", round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(inputs) AS x FROM samples)""")(

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.calendar import parse_utc_minute, utc_minute_text
+from tidemark.sources.files import any_match
+
 #: The ten hourly measures of a document (fixed values).
 MEASURES = [
     "temperature_2m",
@@ -46,15 +49,13 @@ def land_bronze(df: DataFrame, path: str, by: Iterable[str] = ("region", "datase
 def read_bronze(spark: SparkSession, path: str, measures: Iterable[str] = MEASURES, datasets: Iterable[str] = ("archive", "forecast"), region: str = "*") -> DataFrame:
     """All documents with their path columns; one read per dataset, whose path layouts differ."""
     schema = bronze_schema(measures).add("_corrupt", T.StringType())
+    reader = spark.read.schema(schema).option("basePath", path).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     out = None
     for dataset in datasets:
-        try:
-            part = spark.read.schema(schema).option("basePath", path).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/region={region}/dataset={dataset}/marz=*")
-        except Exception as e:  # a dataset without any landed file
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            continue
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        files = f"{path}/region={region}/dataset={dataset}/marz=*"
+        if any_match(spark, files):
+            part = reader.json(files)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(f"no landed dataset of {list(datasets)} under {path}")
     return out
@@ -78,11 +79,11 @@ def split_valid(df: DataFrame, required: Iterable[str] = ("latitude", "longitude
 def flatten_hourly(df: DataFrame, arrays: Iterable[str], time: str = "time", struct: str = "hourly", keep: Iterable[str] = ()) -> DataFrame:
     """One row per element of the parallel arrays; a missing array pads with NULL."""
     zipped = F.arrays_zip(F.col(f"{struct}.{time}").alias(time), *[F.coalesce(F.col(f"{struct}.{a}"), F.array().cast("array<double>")).alias(a) for a in arrays])
-    return df.select(*keep, F.explode(zipped).alias("_z")).select(*keep, F.expr(f"try_to_timestamp(_z.{time}, \"yyyy-MM-dd'T'HH:mm\")").alias("observed_at"), *[F.col(f"_z.{a}").alias(a) for a in arrays])
+    return df.select(*keep, F.explode(zipped).alias("_z")).select(*keep, parse_utc_minute(f"_z.{time}").alias("observed_at"), *[F.col(f"_z.{a}").alias(a) for a in arrays])
 
 
 def pack_hourly(df: DataFrame, by: Iterable[str], ts: str, measures: Iterable[str]) -> DataFrame:
     """The inverse of ``flatten_hourly``: parallel arrays in time order per group."""
-    rows = F.array_sort(F.collect_list(F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm").alias("time"), *measures)))
+    rows = F.array_sort(F.collect_list(F.struct(utc_minute_text(ts).alias("time"), *measures)))
     grouped = df.groupBy(*by).agg(rows.alias("_r"))
     return grouped.select(*by, F.struct(*[F.col(f"_r.{c}").alias(c) for c in ("time", *measures)]).alias("hourly"))

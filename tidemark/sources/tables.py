@@ -10,17 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.bronze import MEASURES
+from tidemark.sources.files import any_match, files_per_layer, folder_exists, list_coverage
 
 #: Columns, keys and parents of the star's tables.
 STAR = {
     "dim_location": ("location_id BIGINT, region STRING, lat DOUBLE, lon DOUBLE, elevation DOUBLE", []),
     "dim_time": ("time_id BIGINT, observed_at TIMESTAMP, date DATE, hour SMALLINT, day_of_week SMALLINT, month SMALLINT, year SMALLINT, season STRING, is_weekend BOOLEAN", []),
     "fact": ("location_id BIGINT, time_id BIGINT, " + ", ".join(f"{m} DOUBLE" for m in MEASURES) + ", dataset STRING", ["dataset"]),
-    "predictions": ("location_id BIGINT, prediction_made_at TIMESTAMP, target_time TIMESTAMP, predicted_value DOUBLE, actual_value DOUBLE, actual_filled_at TIMESTAMP, seq_in INT, model_version STRING", ["model_version"]),
-    "scored_groups": ("location_id BIGINT, model_version STRING, prediction_made_at TIMESTAMP, n_hours BIGINT, mse DOUBLE, computed_at TIMESTAMP", []),
+    "predictions": ("location_id BIGINT, prediction_made_at TIMESTAMP, target_time TIMESTAMP, predicted_value DOUBLE, actual_value DOUBLE, actual_filled_at TIMESTAMP, seq_in INT, model_version STRING, target_date DATE", ["model_version", "target_date"]),
+    "scored_groups": ("location_id BIGINT, prediction_made_at TIMESTAMP, n_hours BIGINT, mse DOUBLE, computed_at TIMESTAMP, model_version STRING", ["model_version"]),
 }
 
 
+def star_tables(measures: Iterable[str] = MEASURES) -> dict[str, tuple[str, list[str]]]:
+    """``STAR``, its fact with these measures."""
+    columns = ", ".join(["location_id BIGINT", "time_id BIGINT", *(f"{m} DOUBLE" for m in measures), "dataset STRING"])
+    return {**STAR, "fact": (columns, ["dataset"])}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one where that is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,16 +45,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_versions(spark: SparkSession, root: str, keep: Iterable[str]) -> None:
-    """Delete the versions under ``root`` that ``swap_table`` wrote, but for the paths in ``keep``."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = {p.rsplit("/", 1)[-1] for p in keep}
-    for status in fs.listStatus(place):
-        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in names:
-            fs.delete(status.getPath(), True)
-
-
 def write_layer(df: DataFrame, path: str, mode: str = "dynamic", parts: Iterable[str] = ("dataset", "date")) -> None:
     """``dynamic`` replaces just the partitions that ``df`` has, ``static`` the whole layer."""
     df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*parts).parquet(path)
@@ -65,6 +62,14 @@ def read_layer(spark: SparkSession, path: str, start: str | None = None, end: st
     return df
 
 
+def filled_layer(spark: SparkSession, path: str) -> DataFrame | None:
+    """A layer that has rows; None where there is no folder, no file or no row, and so nothing to do for a job."""
+    if not any_match(spark, f"{path}/[!_.]*"):
+        return None
+    df = read_layer(spark, path)
+    return None if df.isEmpty() else df
+
+
 def register_external(spark: SparkSession, name: str, path: str) -> None:
     """A catalog table over a layer's files, with its partitions registered."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -91,36 +96,12 @@ def clear_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"TRUNCATE TABLE {table}")
 
 
-def replace_table(df: DataFrame, path: str, parts: Iterable[str] = (), jdbc: dict | None = None) -> None:
-    """Full refresh of a table at ``path``, or of ``jdbc['dbtable']``."""
-    if jdbc:
-        df.write.format("jdbc").options(**jdbc).option("truncate", True).mode("overwrite").save()
-    else:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts).parquet(path)
-
-
-def append_absent(spark: SparkSession, new: DataFrame, path: str, keys: list[str], parts: Iterable[str] = (), jdbc: dict | None = None) -> None:
+def append_absent(spark: SparkSession, new: DataFrame, path: str, keys: list[str], parts: Iterable[str] = ()) -> None:
     """Append the rows whose key is not there yet; running it again changes nothing."""
     from tidemark.operators.upsert import absent
 
-    try:
-        have = spark.read.format("jdbc").options(**jdbc).load() if jdbc else spark.read.parquet(path)
-    except Exception as e:  # the first append makes the table
-        if jdbc or "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = new.limit(0)
-    rows = absent(have, new, keys)
-    if jdbc:
-        rows.write.format("jdbc").options(**jdbc).mode("append").save()
-    else:
-        rows.write.mode("append").partitionBy(*parts).parquet(path)
-
-
-def swap_table(df: DataFrame, root: str) -> str:
-    """Write a new version beside the one that is being read; returns its path (a table without MERGE)."""
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
+    have = spark.read.schema(new.schema).parquet(path) if folder_exists(spark, path) else new.limit(0)
+    absent(have, new, keys).write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def scan_coverage(df: DataFrame, dataset: str = "dataset", date: str = "date") -> DataFrame:
@@ -129,24 +110,12 @@ def scan_coverage(df: DataFrame, dataset: str = "dataset", date: str = "date") -
 
 
 def load_or_scan(spark: SparkSession, manifest: str, layer: str) -> DataFrame:
-    """The saved coverage manifest, or a scan of the layer that is then saved."""
-    try:
-        return spark.read.parquet(manifest)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    scan_coverage(spark.read.parquet(layer)).withColumn("scanned_at", F.current_timestamp()).write.mode("overwrite").parquet(manifest)
+    """The saved coverage manifest, or a listing of the layer's folders that is then saved."""
+    if not folder_exists(spark, f"{manifest}/_SUCCESS"):
+        list_coverage(spark, layer).withColumn("scanned_at", F.current_timestamp()).write.mode("overwrite").parquet(manifest)
     return spark.read.parquet(manifest)
 
 
-def files_per_layer(spark: SparkSession, layers: dict[str, str]) -> DataFrame:
-    out = None
-    for name, path in layers.items():
-        one = spark.read.parquet(path).select(F.lit(name).alias("layer"), F.col("_metadata.file_path").alias("file"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("layer").agg(F.countDistinct("file").alias("files"))
-
-
 def write_metrics_csv(df: DataFrame, path: str) -> None:
     """Per-horizon metrics with four decimals."""
     rounded = df.select("h_ahead", *[F.format_string("%.4f", F.col(c)).alias(c) for c in df.columns if c != "h_ahead"])
