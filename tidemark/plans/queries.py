@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels as lb
-from tidemark.functions.calendar import add_calendar, instant, utc_date, utc_hour
+from tidemark.functions.calendar import add_calendar, instant, utc_date, utc_hour, utc_minute_text
 from tidemark.operators import coverage as cov
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
+from tidemark.operators import forecast as fc
 from tidemark.operators import reports as rp
 from tidemark.operators import samples as sm
 from tidemark.operators import star as st
 from tidemark.operators import upsert as up
 from tidemark.plans import jobs
 from tidemark.sources import bronze as br
+from tidemark.sources import files as fl
 from tidemark.sources import tables as tb
+from tidemark.sources.models import list_models, load_model, save_model
 
 V = "temperature_2m"
 PLACE = ["region", "lat", "lon"]
+#: What the window model sees of an hour.
+FEATURES = [V, "hour"]
 SERIES = ["region", "dataset", "lat", "lon"]
 
 
@@ -86,13 +91,27 @@ class Views:
             jobs.load_star(self.spark, f"{root}/silver", f"{root}/star")
             gold = tb.read_layer(self.spark, f"{root}/gold").drop("region").withColumnRenamed("marz", "region")
             jobs.run_walk_forward(self.spark, gold, f"{root}/star", "persistence", [V], V, 6, 3, 4)
+            save_model(self.spark, self.fit(self.windows(gold)), f"{root}/models", "linear")
+            model, _ = load_model(self.spark, f"{root}/models")
+            jobs.run_walk_forward(self.spark, gold, f"{root}/star", "linear", FEATURES, V, 3, 3, 4, models=model)
             LAKES[key] = root
         return LAKES[key]
 
+    def windows(self, rows: DataFrame) -> DataFrame:
+        """Three hours of two features, and the three hours after them."""
+        return sm.sliding_samples(rows, PLACE, "observed_at", FEATURES, V, 3, 3, 4)
+
+    def fit(self, windows: DataFrame) -> fc.WindowModel:
+        return fc.fit_windows(windows, FEATURES, 3, 3, PLACE)
+
     def dim_location(self, silver: DataFrame) -> DataFrame:
         none = self.spark.createDataFrame([], "location_id long, region string, lat double, lon double, elevation double")
         return up.assign_keys(st.location_dim(silver, PLACE, ["elevation"], "observed_at"), none, PLACE, "location_id")
 
+    def ledger(self, name: str, version: str) -> DataFrame:
+        """Rows of one version in a table of the lake's star."""
+        return jobs.current_table(self.spark, f"{self.lake()}/star", name).where(F.col("model_version") == f"walkforward:{version}")
+
     def dim_time(self, silver: DataFrame) -> DataFrame:
         none = self.spark.createDataFrame([], tb.STAR["dim_time"][0])
         return up.assign_keys(st.time_dim(silver, "observed_at"), none, ["date", "observed_at"], "time_id")
@@ -135,6 +154,20 @@ CTES = {
     "latest": "SELECT location_id, max(observed_at) AS observed_at, arg_max(temperature_2m, observed_at) AS temperature_2m FROM fact JOIN dim_time USING (time_id) WHERE dataset = 'archive' AND temperature_2m IS NOT NULL GROUP BY location_id",
     "star_sales": """SELECT n_name, r_name, l_suppkey, CAST(l_shipdate AS DATE) AS d, l_extendedprice, l_discount FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
+#: The window model in SQL: scaled values u, the system of sums g, one elimination per unknown, the solution's last columns.
+CTES |= {
+    "w3": """SELECT region, observed_at AS anchor_ts, rn, array_agg(temperature_2m) OVER i AS a, array_agg(hour(observed_at)) OVER i AS b, array_agg(temperature_2m) OVER o AS targets FROM ranked
+  WINDOW i AS (PARTITION BY region, lat, lon ORDER BY observed_at ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), o AS (PARTITION BY region, lat, lon ORDER BY observed_at ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)""",
+    "s3": "SELECT *, k <= floor(total * (1.0::DOUBLE - 0.2::DOUBLE)) AS train FROM (SELECT *, row_number() OVER (ORDER BY anchor_ts, region) AS k, count(*) OVER () AS total FROM w3 WHERE len(a) = 3 AND len(targets) = 3 AND (rn - 3) % 4 = 0)",
+    "scale": "SELECT avg(x) AS ma, stddev_pop(x) AS sa, avg(y) AS mb, stddev_pop(y) AS sb FROM (SELECT unnest(a) AS x, unnest(b) AS y FROM s3 WHERE train)",
+    "u3": "SELECT region, anchor_ts, rn, a, targets, [1.0::DOUBLE, (a[1] - ma) / sa, (b[1] - mb) / sb, (a[2] - ma) / sa, (b[2] - mb) / sb, (a[3] - ma) / sa, (b[3] - mb) / sb] AS u FROM w3, scale WHERE len(a) = 3 AND (rn - 3) % 4 = 0",
+    "g0": """SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, avg(u[i] * CASE WHEN j <= 7 THEN u[j] ELSE u3.targets[j - 7] END) + CASE WHEN i = j AND i > 1 THEN 1e-6::DOUBLE ELSE 0 END AS v
+  FROM u3 JOIN s3 USING (region, anchor_ts), range(1, 8) AS x(i), range(1, 11) AS y(j) WHERE train GROUP BY i, j) GROUP BY i)""",
+}
+CTES |= {f"g{k}": f"SELECT [CASE WHEN i = {k} THEN [x / m[{k}][{k}] for x in m[{k}]] ELSE [m[i][j] - m[i][{k}] / m[{k}][{k}] * m[{k}][j] for j in range(1, 11)] END for i in range(1, 8)] AS m FROM g{k - 1}" for k in range(1, 8)}
+CTES["p3"] = "SELECT region, anchor_ts, rn, a, u3.targets, [list_sum([u[i] * m[i][7 + h] for i in range(1, 8)]) for h in range(1, 4)] AS preds FROM u3, g7"
+CTES["val_error"] = "SELECT avg((preds[h] - p3.targets[h]) * (preds[h] - p3.targets[h])) AS val_mse FROM p3 JOIN s3 USING (region, anchor_ts), range(1, 4) AS x(h) WHERE NOT train"
+FIT = ["dense", "ranked", "w3", "s3", "scale", "u3", *(f"g{k}" for k in range(8)), "p3", "val_error"]
 DENSE = ["dense", "dim_location", "dim_time", "fact", "ranked", "preds", "filled", "groups"]
 STARS = ["raw", "silver", "dim_location", "dim_time", "fact"]
 
@@ -412,12 +445,12 @@ def star_tables(v):
 
 @query("c4_prediction_ledger", DENSE[:7], "SELECT location_id, model_version, prediction_made_at, target_time, predicted_value, actual_value FROM filled")
 def prediction_ledger(v):
-    return jobs.current_table(v.spark, f"{v.lake()}/star", "predictions").select("location_id", "model_version", "prediction_made_at", "target_time", "predicted_value", "actual_value")
+    return v.ledger("predictions", "persistence").select("location_id", "model_version", "prediction_made_at", "target_time", "predicted_value", "actual_value")
 
 
 @query("c6_scored_groups", DENSE, "SELECT location_id, model_version, prediction_made_at, n_hours, round(mse, 9) AS mse FROM groups")
 def scored_groups(v):
-    return jobs.current_table(v.spark, f"{v.lake()}/star", "scored_groups").select("location_id", "model_version", "prediction_made_at", "n_hours", F.round("mse", 9).alias("mse"))
+    return v.ledger("scored_groups", "persistence").select("location_id", "model_version", "prediction_made_at", "n_hours", F.round("mse", 9).alias("mse"))
 
 
 @query("v4_add_column", ["dense"], "SELECT DISTINCT region AS marz, NULL::VARCHAR AS note FROM dense")
@@ -447,3 +480,67 @@ def score_with(v):
             yield f.assign(pred=[float(sum(x) / len(x)) for x in f["inputs"]])[["region", "anchor_ts", "pred"]]
 
     return ev.score_with(s, mean, "region string, anchor_ts timestamp, pred double").withColumn("pred", F.round("pred", 6))
+
+
+# ---- the window model: all horizons in one fit --------------------------------------------------
+def dense_windows(v: Views) -> DataFrame:
+    return v.windows(add_calendar(v.dense(), "observed_at"))
+
+
+@query("m1_fit_windows", FIT, "SELECT region, p3.anchor_ts, round(preds[1], 6) AS h1, round(preds[2], 6) AS h2, round(preds[3], 6) AS h3, round(val_mse, 6) AS val_mse FROM p3 JOIN s3 USING (region, anchor_ts), val_error")
+def fit_windows(v):
+    """Three horizons from six scaled values in one pass, and the error on the last fifth of the windows."""
+    windows = dense_windows(v)
+    model = v.fit(windows)
+    horizons = [F.round(F.get("preds", F.lit(h)), 6).alias(f"h{h + 1}") for h in range(3)]
+    return fc.predict(windows, model).select("region", "anchor_ts", *horizons, F.lit(round(model.val_mse, 6)).alias("val_mse"))
+
+
+M4_FIT_SQL = f""", v AS (SELECT a[3] AS l, unnest(preds) AS p, unnest(p3.targets) AS t, unnest([1, 2, 3]) AS h FROM p3 JOIN s3 USING (region, anchor_ts, a) WHERE NOT train)
+SELECT h AS h_ahead, {M4_METRICS} FROM v GROUP BY h UNION ALL SELECT 0, {M4_METRICS} FROM v"""
+
+
+@query("m4_fitted_report", FIT, M4_FIT_SQL)
+def fitted_report(v):
+    """The fitted model on the last fifth of the windows, beside persistence."""
+    windows = dense_windows(v)
+    held = windows.where(~fc.training_part(windows, PLACE, 0.2))
+    report = ev.holdout_report(fc.predict(held, v.fit(windows)), V)
+    return report.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "mape", "persistence_mae", "persistence_rmse")})
+
+
+@query("c4_fitted_ledger", ["dense", "dim_location", "dim_time", "fact", *FIT[1:]], """SELECT location_id, 'walkforward:linear' AS model_version, anchor_ts AS prediction_made_at, target_time, round(predicted, 6) AS predicted_value, f.temperature_2m AS actual_value
+FROM (SELECT region, anchor_ts, anchor_ts + h * INTERVAL 1 HOUR AS target_time, preds[h] AS predicted FROM p3, range(1, 4) AS x(h)) JOIN dim_location USING (region)
+LEFT JOIN (SELECT location_id, observed_at AS target_time, temperature_2m FROM fact JOIN dim_time USING (time_id)) f USING (location_id, target_time)""")
+def fitted_ledger(v):
+    """The walk-forward run of the lake's stored model."""
+    return v.ledger("predictions", "linear").select("location_id", "model_version", "prediction_made_at", "target_time", F.round("predicted_value", 6).alias("predicted_value"), "actual_value")
+
+
+@query("m5_model_store", FIT, "SELECT 'linear' AS version, 1 AS epoch, 3 AS seq_in, 3 AS seq_out, round(val_mse, 6) AS metric FROM val_error")
+def model_store(v):
+    return list_models(v.spark, f"{v.lake()}/models").select("version", "epoch", "seq_in", "seq_out", F.round("metric", 6).alias("metric"))
+
+
+# ---- the lake by its folders and catalog ---------------------------------------------------------
+@query("s16_coverage_by_keys", ["dense"], "SELECT DISTINCT 'archive' AS dataset, observed_at::DATE AS date FROM dense")
+def coverage_by_keys(v):
+    """Dates of the gold layer from the names of its folders."""
+    return fl.list_coverage(v.spark, f"{v.lake()}/gold")
+
+
+@query("s20_files_per_layer", ["dense"], "SELECT layer, count(DISTINCT observed_at::DATE) AS dates, true AS has_files FROM dense, (SELECT unnest(['silver', 'gold']) AS layer) GROUP BY layer")
+def files_in_layers(v):
+    root = v.lake()
+    dates = [fl.list_coverage(v.spark, f"{root}/{n}").agg(F.count("date").alias("dates")).withColumn("layer", F.lit(n)) for n in ("silver", "gold")]
+    counted = fl.files_per_layer(v.spark, {n: f"{root}/{n}" for n in ("silver", "gold")})
+    return counted.join(dates[0].unionByName(dates[1]), "layer").select("layer", "dates", (F.col("files") > 0).alias("has_files"))
+
+
+@query("s10_dim_read_back", ["dense", "dim_location", "dim_time"], "SELECT 'location' AS dim, location_id AS id, region AS label FROM dim_location UNION ALL SELECT 'time', time_id, strftime(observed_at, '%Y-%m-%dT%H:%M') FROM dim_time")
+def dim_read_back(v):
+    """The dimensions that the load has numbered, as the catalog has them."""
+    root = f"{v.lake()}/star"
+    places = jobs.current_table(v.spark, root, "dim_location").select(F.lit("location").alias("dim"), F.col("location_id").alias("id"), F.col("region").alias("label"))
+    times = jobs.current_table(v.spark, root, "dim_time").select(F.lit("time").alias("dim"), F.col("time_id").alias("id"), utc_minute_text("observed_at").alias("label"))
+    return places.unionByName(times)

@@ -49,7 +49,7 @@ class Warehouse:
         if not folder_exists(self.spark, f"{self.root}/_stage"):
             return
         for name in self.tables:
-            redo = f"{name}_redo"
+            redo = f"{name}_redo"  # replayed, then dropped; a stage of input rows is computed anew
             if folder_exists(self.spark, f"{self._place(redo)}/_SUCCESS"):
                 self._overwrite(name, self.spark.read.schema(self.table(name).schema).parquet(self._place(redo)))
             self._drop(redo)
@@ -71,9 +71,10 @@ class Warehouse:
         return self.table(stage)
 
     def _drop(self, stage: str) -> None:
-        self.step(f"drop {stage}")
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{stage}")
-        drop_folder(self.spark, self._place(stage))
+        if folder_exists(self.spark, self._place(stage)) or self.spark.catalog.tableExists(f"{self.database}.{stage}"):
+            self.step(f"drop {stage}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{stage}")
+            drop_folder(self.spark, self._place(stage))
 
     @contextmanager
     def staged(self, rows: DataFrame, name: str) -> Iterator[DataFrame]:
@@ -96,26 +97,25 @@ class Warehouse:
         self.step(f"overwrite {name}")
         self._by_partition(name, rows).write.insertInto(f"{self.database}.{name}", overwrite=True)
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """The partitions that ``rows`` has become what ``rows`` holds of them; others stay.  ``rows`` may read the table itself."""
-        redo = f"{name}_redo"
+    def replace(self, name: str, rows: DataFrame, whole: bool = False) -> None:
+        """The partitions that ``rows`` has become what ``rows`` holds of them; others stay, or go if ``whole``.  ``rows`` may read the table itself."""
+        redo, parts = f"{name}_redo", self.tables[name][1]
         try:
             staged = self._stage(rows.select(*self.table(name).columns), redo)
         except Exception:
             self._drop(redo)
             raise
-        self._overwrite(name, staged)  # where this fails the stage stays, for the next time
-        self._drop(redo)
-
-    def refresh(self, name: str, rows: DataFrame) -> None:
-        """The whole table becomes ``rows``: partitions that they don't have are dropped first."""
-        parts = self.tables[name][1]
-        with self.staged(rows.select(*self.table(name).columns), name) as staged:
+        if whole:
             keep = {tuple(r) for r in staged.select(*parts).distinct().collect()}  # values of the partition columns
             for old in self.table(name).select(*parts).distinct().collect():
                 if tuple(old) not in keep:
                     self._drop_partition(name, old.asDict())
-            self.replace(name, staged)
+        self._overwrite(name, staged)  # where this fails the stage stays, for the next time
+        self._drop(redo)
+
+    def refresh(self, name: str, rows: DataFrame) -> None:
+        """The whole table becomes ``rows``."""
+        self.replace(name, rows, whole=True)
 
     def _drop_partition(self, name: str, values: dict) -> None:
         self.step(f"drop partition of {name}")
