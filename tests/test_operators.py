@@ -12,6 +12,7 @@ from tidemark.functions.calendar import add_calendar, season
 from tidemark.operators import coverage as cov
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
+from tidemark.operators import forecast as fc
 from tidemark.operators import reports as rp
 from tidemark.operators import samples as sm
 from tidemark.operators import star as st
@@ -202,17 +203,17 @@ def test_windows_are_fitted_on_scaled_values(spark):
     rows = [("a", day + dt.timedelta(hours=i), float(v), float(i % 7)) for i, v in enumerate(series)]
     df = spark.createDataFrame(rows, "p string, t timestamp, v double, w double")
     samples = sm.sliding_samples(df, ["p"], "t", ["v", "w"], "v", 4, 2)
-    models, stats, error = ev.fit_windows(samples, ["v", "w"], 2, ["p"])
+    model = fc.fit_windows(samples, ["v", "w"], 4, 2, ["p"])
     flat = [([x for i in r["inputs"] for x in (i["v"], i["w"])], r["targets"]) for r in samples.orderBy("anchor_ts").collect()]
     x, y = np.array([f[0] for f in flat]), np.array([f[1] for f in flat])
     cut = int(len(x) * 0.8)
     mean, std = x[:cut].reshape(-1, 2).mean(0), x[:cut].reshape(-1, 2).std(0)
-    assert abs(stats["v"]["mean"] - mean[0]) < 1e-9 and abs(stats["w"]["std"] - std[1]) < 1e-9
+    assert abs(model.mean[0] - mean[0]) < 1e-9 and abs(model.std[1] - std[1]) < 1e-9
     z = np.hstack([(x.reshape(len(x), 4, 2) - mean).reshape(len(x), 8) / np.tile(std, 4), np.ones((len(x), 1))])
     fitted = np.linalg.lstsq(z[:cut], y[:cut], rcond=None)[0]
-    assert abs(error - ((z[cut:] @ fitted - y[cut:]) ** 2).mean()) < 1e-3 and set(models) == {1, 2}
+    assert abs(model.val_mse - ((z[cut:] @ fitted - y[cut:]) ** 2).mean()) < 1e-3 and model.weights().shape == (9, 2)
     with pytest.raises(ValueError):
-        ev.fit_windows(samples.limit(0), ["v", "w"], 2, ["p"])
+        fc.fit_windows(samples.limit(0), ["v", "w"], 4, 2, ["p"])
 
 
 def test_calendar_is_utc_in_any_zone(spark):

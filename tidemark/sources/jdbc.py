@@ -51,14 +51,13 @@ def has_table(spark: SparkSession, options: dict, table: str) -> bool:
 
 def read_table(spark: SparkSession, options: dict, table: str, key: str | None = None, partitions: int = 8) -> DataFrame:
     """A table, read by ``partitions`` connections over ranges of a whole-number ``key`` where one is named."""
-    reader = spark.read.format("jdbc").options(**options)
-    if key is None:
-        return reader.option("dbtable", table).load()
-    name = quoted(spark, options, [key])[0]
-    lo, hi = reader.option("query", f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}").load().first()
-    if lo is None:
-        return reader.option("dbtable", table).load()
-    return reader.options(dbtable=table, partitionColumn=key, lowerBound=int(lo), upperBound=int(hi) + 1, numPartitions=partitions).load()
+    whole = {**options, "dbtable": table}
+    if key is not None:
+        name = quoted(spark, options, [key])[0]
+        bounds = spark.read.format("jdbc").options(**options, query=f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}").load().first()
+        if bounds[0] is not None:
+            whole |= {"partitionColumn": key, "lowerBound": int(bounds[0]), "upperBound": int(bounds[1]) + 1, "numPartitions": partitions}
+    return spark.read.format("jdbc").options(**whole).load()
 
 
 def quoted(spark: SparkSession, options: dict, columns: Iterable[str]) -> list[str]:
@@ -68,14 +67,22 @@ def quoted(spark: SparkSession, options: dict, columns: Iterable[str]) -> list[s
 
 @contextmanager
 def staged(rows: DataFrame, options: dict, table: str) -> Iterator[str]:
+    """A query for ``rows`` in a table of its own, whose columns have the types that they have in ``table``; dropped afterwards."""
     spark, stage = rows.sparkSession, f"{table}_stage"
-    try:
-        rows.withColumn(ROW, F.monotonically_increasing_id()).write.format("jdbc").options(**options, dbtable=stage).mode("overwrite").save()
-        yield f"(SELECT DISTINCT {', '.join(quoted(spark, options, [*rows.columns, ROW]))} FROM {stage})"
-    finally:
+    names, number = ", ".join(quoted(spark, options, rows.columns)), quoted(spark, options, [ROW])[0]
+
+    def drop() -> None:
         if has_table(spark, options, stage):
             execute(spark, options, f"DROP TABLE {stage}")
 
+    drop()  # what a killed load has left
+    try:
+        execute(spark, options, f"CREATE TABLE {stage} AS SELECT {names} FROM {table} WITH NO DATA", f"ALTER TABLE {stage} ADD COLUMN {number} BIGINT")
+        rows.withColumn(ROW, F.monotonically_increasing_id()).write.format("jdbc").options(**options, dbtable=stage).mode("append").save()
+        yield f"(SELECT DISTINCT {names}, {number} FROM {stage})"
+    finally:
+        drop()
+
 
 def append_absent(rows: DataFrame, options: dict, table: str, keys: list[str]) -> None:
     """Insert the rows whose key the table lacks; of rows that share a key the smallest."""
