@@ -14,6 +14,7 @@ from tidemark.operators import coverage as cov
 from tidemark.operators import evaluate as ev
 from tidemark.operators import samples as sm
 from tidemark.operators.features import build_gold, dedupe_latest
+from tidemark.operators.slices import ROWS_PER_SLICE, build_gold_in_slices, longest_series
 from tidemark.operators.star import build_fact, location_dim, time_dim
 from tidemark.operators.upsert import absent, one_per_key, upsert
 from tidemark.sources import jdbc
@@ -45,11 +46,16 @@ def bronze_to_silver(spark: SparkSession, src: str, dst: str, measures: list[str
     return quarantine
 
 
-def silver_to_gold(spark: SparkSession, src: str, dst: str, target: str = "temperature_2m", loc: list[str] | None = None) -> None:
-    """Gold features of a silver layer."""
-    silver = filled_layer(spark, src)
-    if silver is not None:
-        write_layer(build_gold(silver, loc or ["region", "dataset", "lat", "lon"], "observed_at", target), dst)
+def silver_to_gold(spark: SparkSession, src: str, dst: str, target: str = "temperature_2m", loc: list[str] | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> None:
+    """Gold features of a silver layer; series longer than ``rows_per_slice`` are worked on in slices, with the same result."""
+    silver, loc = filled_layer(spark, src), loc or ["region", "dataset", "lat", "lon"]
+    if silver is None:
+        return
+    if longest_series(silver, loc) > rows_per_slice:
+        gold = build_gold_in_slices(silver, loc, "observed_at", target, rows_per_slice)
+    else:
+        gold = build_gold(silver, loc, "observed_at", target)
+    write_layer(gold, dst)
 
 
 def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:

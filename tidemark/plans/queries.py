@@ -15,6 +15,7 @@ from tidemark.operators import features as ft
 from tidemark.operators import forecast as fc
 from tidemark.operators import reports as rp
 from tidemark.operators import samples as sm
+from tidemark.operators import slices as sl
 from tidemark.operators import star as st
 from tidemark.operators import upsert as up
 from tidemark.plans import jobs
@@ -544,3 +545,25 @@ def dim_read_back(v):
     places = jobs.current_table(v.spark, root, "dim_location").select(F.lit("location").alias("dim"), F.col("location_id").alias("id"), F.col("region").alias("label"))
     times = jobs.current_table(v.spark, root, "dim_time").select(F.lit("time").alias("dim"), F.col("time_id").alias("id"), utc_minute_text("observed_at").alias("label"))
     return places.unionByName(times)
+
+
+# ---- one series over many tasks ------------------------------------------------------------------
+# nine decimals: a mean of hourly values with four may lie halfway between two numbers of six
+ONE_GOLD = GOLD_SQL.replace("FROM silver", "FROM one").replace("OVER r, 6)", "OVER r, 9)")
+
+
+@query("c2_gold_of_one_series", ["dense"], ", one AS (SELECT 'all' AS region, 'archive' AS dataset, 1.0::DOUBLE AS lat, 2.0::DOUBLE AS lon, observed_at, max(temperature_2m) AS temperature_2m FROM dense GROUP BY observed_at)\n" + ONE_GOLD)
+def gold_of_one_series(v):
+    """Gold features where all hours belong to one place, in slices of a hundred rows."""
+    place = {"region": F.lit("all"), "dataset": F.lit("archive"), "lat": F.lit(1.0), "lon": F.lit(2.0)}
+    one = v.dense().groupBy("observed_at").agg(F.max(V).alias(V)).withColumns(place)
+    g = sl.build_gold_in_slices(one, SERIES, "observed_at", V, 100)
+    return g.select("region", "dataset", "lat", "observed_at", V, "hour", "day_of_week", "month", "season", "is_weekend", f"{V}_lag_1h", f"{V}_lag_3h", f"{V}_lag_24h", F.round(f"{V}_roll24_mean", 9).alias("mean24"), F.round(f"{V}_roll24_std", 9).alias("std24"))
+
+
+@query("j6_asof_of_one_key", None, "SELECT a.event_id, (SELECT max(b.ts) FROM events b WHERE b.event_type = 'purchase' AND b.ts <= a.ts) AS r_ts FROM events a WHERE a.event_type <> 'purchase'")
+def asof_of_one_key(v):
+    """Each event with the newest purchase of anyone before it: one key, in slices of a thousand rows."""
+    e = v.table("events").select(F.lit(1).alias("k"), "event_id", "ts", "event_type")
+    left, right = e.where("event_type <> 'purchase'").drop("event_type"), e.where("event_type = 'purchase'").select("k", F.col("ts").alias("r_ts"))
+    return sl.asof_backward_in_slices(left, right, ["k"], "ts", "r_ts", [], 1000).select("event_id", "r_ts")
