@@ -113,7 +113,7 @@ def test_line_blocks_by_brute_force():
     rng = random.Random(6)
     for _ in range(300):
         weights = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(1, 30))]
-        lines = [Line("x" if w else "", float(w), 0, i) for i, w in enumerate(weights)]
+        lines = [Line("x" if w else "", float(w), 0, i, named=(i,)) for i, w in enumerate(weights)]
         sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
         runs, i = [], 0
         while i < len(sums):
@@ -133,7 +133,8 @@ def test_markup_as_html_says():
     assert main_text("<p title=it's>one</p><p>two</p><p>don't</p>") == "one\ntwo\ndon't"
     assert main_text('<article><div class="article-header"><h1>Title</h1></div><p class="share-price">5</p><p class=legal>law</p><div class="side note">n</div></article>') == "Title\n5\nlaw\nn"
     assert main_text(f"<div><p><a href=x>A linked sentence.</a></p><p>{long}</p><aside>no</aside><p>End.</p></div><div id=x><a href=y>menu</a></div>") == f"A linked sentence.\n{long.strip()}\nEnd."
-    assert main_text(f"<div>{'<p>Short.</p>' * 3}</div><form>no</form><div><p>{long}</p></div>") == long.strip()
+    assert main_text(f"<div class=x>{'<p>Short.</p>' * 3}</div><form>no</form><div><p>{long}</p></div>") == long.strip()
+    assert main_text(f"<div>{'<p>Short.</p>' * 3}</div><form>no</form><div><p>{long}</p></div>") == "Short.\n" * 3 + long.strip()  # no length is too short
     assert main_text("<p>a <script>x</script>b <button>no</button>c") == "a b c" and main_text("<p>a<p b='c") == "a"
     assert main_text("<div class=sidebar><p>All there is.</p></div>") == "All there is."
     assert main_text("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == "a\nb\nc\nd"
@@ -141,6 +142,42 @@ def test_markup_as_html_says():
     assert main_text(deep) == "x" and main_text("<p>y " * 200_000).count("\n") == 199_999
 
 
+LONG = "A sentence of the article that is long enough. " * 6
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body><form action=x><div><p>{l}</p></div><input name=q><label>Find</label></form></body>", "{l}"),
+        ("<article><form><p>{l}</p></form></article>", "{l}"),
+        ("<body><p>{l}</p><form><p>Leave a reply</p><button>Send</button></form></body>", "{l}"),
+        ("<body><a name=top><p>{l}</p><p>More.</p></body>", "{l}\nMore."),
+        ("<body><div><a href=x><p>{l}</p><p>{l}</p></div></body>", "{l}\n{l}"),
+        ("<body><p><a href=x>One linked line.</a></p><p><a href=y>Another one.</a></p></body>", "One linked line.\nAnother one."),
+        ("<main><h1>Title</h1><article><p>{l}</p></article><p>Closing words.</p></main>", "Title\n{l}\nClosing words."),
+        ("<main><article><p>Short first.</p></article><article><p>{l}</p></article></main>", "Short first.\n{l}"),
+        ("<body><div><h1>Title</h1><article><p>{l}</p></article><p>Closing words.</p></div><div class=promo>Buy</div></body>", "Title\n{l}\nClosing words."),
+        ("<body><div class=box>Buy now.</div><article><p>{l}</p></article><p>Not of it.</p></body>", "{l}"),
+        ("<div><p>{l}</p></div><nav>x</nav><div><p>A short closing sentence.</p></div>", "{l}\nA short closing sentence."),
+        ("<section><p>{l}</p></section><aside>x</aside><section><p>End.</p></section>", "{l}\nEnd."),
+        ("<div class=text><p>{l}</p><aside>x</aside><div><p>End.</p></div></div><nav>x</nav><div class=other><p>Gone.</p></div>", "{l}\nEnd."),
+        ('<div class="main-content-sidebar-wrapper"><p>{l}</p></div><div class=x><p>Short one.</p></div>', "{l}"),
+        ("<main><header><h1>Title</h1></header><p>{l}</p></main><header>Site</header>", "Title\n{l}"),
+        ('<p>x <span aria-hidden="true">d</span> y {l}</p>', "x y {l}"),
+        ('<p>x <span class="comment">d</span> y {l}</p>', "x d y {l}"),
+        ("<article><p>{l}</p></article><section class=comments><article><p>{l} {l}</p></article></section>", "{l}"),
+    ],
+)
+def test_page_shapes(page, text):
+    line = LONG.strip()
+    assert main_text(page.replace("{l}", line)) == text.replace("{l}", line)
+
+
+def test_many_open_anchors_and_forms():
+    assert main_text("<a href=x>" * 100_000 + "text") == "text"
+    assert main_text("<form>" * 20_000 + "<p>text") == "text" and main_text("<p>" + "<a href=x>b</a> " * 100_000 + "</p>").startswith("b b b")
+
+
 def test_repeated_and_null_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]

@@ -1,14 +1,19 @@
 """Main text of HTML pages by line-block distribution.
 
 The markup is stripped to lines, one per block element.  A line weighs the length of its text without link text;
-text in elements that HTML itself defines as no main content (navigation, footers, forms, scripts, ...) is left out,
+text in elements that HTML itself defines as no main content (navigation, footers, scripts, ...) is left out,
 and at their borders, as at those of articles, a gap of empty lines is left.  The weights are summed over sliding
 windows of ``window`` lines; the distribution surges where the sum leaves zero and dives where it returns to zero.
 The stretch between a surge and its dive that holds the most text decides where the main text is:
 
-* if it lies in an ``<article>`` (else in ``<main>``), all lines of that element are kept;
-* else kept are the stretches whose windows reach ``surge`` characters and those that begin or end in a container of
-  the largest one; linked lines at their ends are kept where they share the container of the line beside them.
+* in a ``<main>``: all lines of that element are kept, so all its articles and what stands beside them;
+* in an ``<article>`` without ``<main>``: its lines, and those that stand beside it in a container of their own;
+* else the largest stretch, the stretches whose windows reach ``surge`` characters, and shorter ones unless they lie in a
+  container with a class or id that the largest has nothing of.  Linked lines at their ends are kept where they share the
+  container of the line beside them.
+
+Elements of a form are controls, but a form may wrap a whole page: its other lines count if they are more than half of
+the page's text.  An anchor is a link if it refers to something; one without an end tag ends with its block.
 
 Class names and ids are hints, not rules: a line inside an element whose name says menu, sidebar, cookie notice,
 advert, comments or the like (all of its parts, so ``no-sidebar``, ``share-price`` or ``article-header`` say nothing)
@@ -27,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +51,13 @@ ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)
 #: Their content is no markup: it ends at the closing tag alone.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "canvas", "object"}
 #: No main content, as blocks and within a line.
-OFF_BLOCKS = {"head", "nav", "footer", "aside", "form", "dialog", "menu", "fieldset"}
-OFF_INLINE = {"button", "select", "label"}
+OFF_BLOCKS = {"head", "nav", "footer", "aside", "dialog", "menu"}
+OFF_INLINE = {"button", "select", "label", "legend", "option"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What a line's neighbours share.
 CONTAINERS = {"div", "section", "article", "main", "body", "html", "header", "blockquote", "figure", "center", "details"}
-BLOCKS = CONTAINERS | OFF_BLOCKS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "pre", "hr", "address", "figcaption", "summary", "hgroup", "search"}
+BLOCKS = CONTAINERS | OFF_BLOCKS | {"form", "fieldset", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "pre", "hr", "address", "figcaption", "summary", "hgroup", "search"}
 LISTS = {"ul", "ol", "menu"}
 #: Elements that end where the next one of their group begins.
 GROUPS = {"li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -59,12 +65,17 @@ HINTS = set("ad ads advert adverts advertisement advertisements sponsored sponso
 #: Words that may stand beside a hint in a name and leave its sense.
 BESIDE = set("site main page top bottom left right global primary secondary mobile sub box block list area wrap wrapper container section inner content bar link links banner notice item items unit slot header articles posts signup".split())
 BLANKS = re.compile(r"\s+")
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+REFERENCE = re.compile(r"(?:^|[\s/\"'])href\s*=", re.I)
+NAMED = re.compile(r"(?:^|[\s/\"'])(?:class|id)\s*=", re.I)
 
 
 def hinted(names: str) -> bool:
     """Whether a class or id says boilerplate: every part of one of its names does, or stands beside one that does."""
     for name in names.lower().split():
         parts = [p for p in re.split(r"[-_\d]+", name) if p]
+        if "content" in parts and not {"main", "page", "site"}.isdisjoint(parts):
+            continue  # what holds the main content may name its neighbours too
         if any(p in HINTS for p in parts) and all(p in HINTS or p in BESIDE for p in parts):
             return True
     return False
@@ -86,13 +97,30 @@ def judged(attributes: str) -> str:
 
 @dataclass(slots=True)
 class Line:
-    """A block's text, its length without links, the article or main element and the container that hold it."""
+    """A block's text and its length without links; the article, main element, form and container that hold it, and the named containers around it."""
 
     text: str = ""
     weight: float = 0.0
     region: int = 0
     container: int = 0
     hint: bool = False
+    main: int = 0
+    form: int = 0
+    beside: int = 0  # the container that holds the article
+    named: tuple[int, ...] = ()
+
+
+class Place(NamedTuple):
+    """An open structural element, and what lines in it have in common."""
+
+    tag: str = ""
+    judgement: str = ""
+    region: int = 0
+    main: int = 0
+    form: int = 0
+    container: int = 0
+    beside: int = 0
+    named: tuple[int, ...] = ()
 
 
 class Stripper:
@@ -102,7 +130,7 @@ class Stripper:
         self.gap, self.lines = gap, []
         self.piece: list[str] = []
         self.linked: list[str] = []
-        self.stack: list[tuple] = []  # (tag, judgement, region, container) of open structural elements
+        self.stack: list[Place] = []
         self.open: Counter = Counter()
         self.off = self.hints = self.in_link = self.number = 0
 
@@ -110,32 +138,43 @@ class Stripper:
         text = BLANKS.sub(" ", _html.unescape("".join(self.piece))).strip()
         if text:
             links = len(BLANKS.sub(" ", _html.unescape("".join(self.linked))).strip())
-            _, _, region, container = self.stack[-1] if self.stack else ("", "", 0, 0)
-            self.lines.append(Line(text, float(max(len(text) - links, 0)), region, container, self.hints > 0))
+            at = self.stack[-1] if self.stack else Place()
+            self.lines.append(Line(text, float(max(len(text) - links, 0)), at.region, at.container, self.hints > 0, at.main, at.form, at.beside, at.named))
         self.piece.clear()
         self.linked.clear()
         if gap and self.lines and self.lines[-1].text:
             self.lines.extend(Line() for _ in range(self.gap))
 
-    def push(self, tag: str, judgement: str) -> None:
-        _, _, region, container = self.stack[-1] if self.stack else ("", "", 0, 0)
+    def push(self, tag: str, judgement: str, named: bool) -> None:
+        at = self.stack[-1] if self.stack else Place()
         self.number += 1
-        if tag == "article" and not self.open["article"] or tag == "main" and not self.open["article"] and not self.open["main"]:
-            region = self.number
-        if tag in CONTAINERS:
-            container = self.number
-        self.stack.append((tag, judgement, region, container))
+        changed = {"tag": tag, "judgement": judgement}
+        if tag == "article" and not at.region:
+            changed |= {"region": self.number, "beside": at.container}
+        if tag in ("main", "form") and not getattr(at, tag):
+            changed[tag] = self.number
+        if tag in CONTAINERS and tag not in ("html", "body"):
+            changed["container"] = self.number
+            if named:
+                changed["named"] = (*at.named, self.number)
+        self.stack.append(at._replace(**changed))
         self.open[tag] += 1
         self.off += judgement == "off"
         self.hints += judgement == "hint"
 
     def pop(self) -> str:
-        tag, judgement, _, _ = self.stack.pop()
+        tag, judgement = self.stack.pop()[:2]
         self.open[tag] -= 1
         self.off -= judgement == "off"
         self.hints -= judgement == "hint"
         return tag
 
+    def anchor(self, attributes: str, page: str, at: int) -> None:
+        """A link, if it refers to something; without an end tag of its own it ends with the block."""
+        following = ANCHOR.search(page, at)
+        closed = following is not None and following[1]
+        self.in_link = 0 if not REFERENCE.search(attributes) else 1 if closed else 2
+
     def close_implied(self, tag: str) -> None:
         """Ends the elements that a start tag ends."""
         if tag in BLOCKS and self.stack and self.stack[-1][0] == "p":
@@ -154,29 +193,31 @@ class Stripper:
         if self.stack:
             self.close_implied(tag)
         judgement = "off" if tag in OFF_BLOCKS or tag in OFF_INLINE or tag == "header" and not (self.open["article"] or self.open["main"]) else ""
+        block = tag in BLOCKS
         if not judgement and attributes and tag not in ("html", "body", "main", "article"):
             judgement = judged(attributes)
-        border = bool(judgement) and tag not in OFF_INLINE or tag in ("article", "main", "body")
-        if tag in BLOCKS:
-            self.flush(border and not self.off)
+            if not block and judgement == "hint":
+                judgement = ""
+        if block:
+            self.flush((bool(judgement) or tag in ("article", "main", "body", "form")) and not self.off)
+            self.in_link = self.in_link % 2
         elif tag == "br":
             self.piece.append(" ")
-        elif tag == "a":
-            self.in_link = 1
         # an element within a judged one of its name is counted too, so that its end tag does not end the outer one
-        if tag not in VOID and (judgement or tag in CONTAINERS or tag in LISTS or tag == "table" or self.open[tag]):
-            self.push(tag, judgement)
+        if tag not in VOID and (judgement or tag in CONTAINERS or tag in LISTS or tag in ("table", "form") or self.open[tag]):
+            self.push(tag, judgement, tag in CONTAINERS and NAMED.search(attributes) is not None)
 
     def end(self, tag: str) -> None:
         if tag == "a":
             self.in_link = 0
         if tag in BLOCKS and not self.off:
             self.flush()
+            self.in_link = self.in_link % 2
         if not self.open[tag]:
             return
-        was_off, border = self.off, tag in ("article", "main", "body")
+        was_off, border = self.off, tag in ("article", "main", "body", "form")
         while True:
-            border |= bool(self.stack[-1][1]) and self.stack[-1][0] not in OFF_INLINE
+            border |= bool(self.stack[-1].judgement) and self.stack[-1].tag in BLOCKS
             if self.pop() == tag:
                 break
         if border and (not was_off or not self.off):
@@ -204,6 +245,8 @@ class Stripper:
                 at = close.end() if close else end
             else:
                 self.start(tag, m[3])
+                if tag == "a":
+                    self.anchor(m[3], page, at)
         self.flush()
         return self.lines
 
@@ -221,33 +264,48 @@ def stretches(weights: list[float], window: int) -> list[tuple[int, int, float,
     return [(int(a), int(b), float(total[b] - total[a]), float(sums[a:b].max())) for a, b in zip(turns[::2], turns[1::2])]
 
 
+def form_lines(lines: list[Line]) -> set[int]:
+    """Forms that wrap no more than half of the page's text: what stands in them is not main text."""
+    total, by_form = sum(x.weight for x in lines), Counter()
+    for x in lines:
+        if x.form:
+            by_form[x.form] += x.weight
+    return {f for f, w in by_form.items() if 2 * w <= total}
+
+
 def kept_lines(lines: list[Line], window: int, surge: float) -> list[int]:
     """Numbers of the lines of the main text."""
-    weights = [0.0 if x.hint else x.weight for x in lines]
-    if not any(weights):
+    minor = form_lines(lines)
+    weights = [0.0 if x.hint or x.form in minor else x.weight for x in lines]
+    if not any(weights):  # nothing but hinted, linked or form text: the first kind that is there counts
+        weights = [x.weight for x in lines] if any(x.weight for x in lines) else [float(len(x.text)) for x in lines]
+        minor = set()
         for x in lines:
             x.hint = False
-        weights = [x.weight for x in lines]
     found = stretches(weights, window)
     if not found:
         return []
+    some = [i for i, x in enumerate(lines) if x.text and not x.hint and x.form not in minor]
     a, b, _, _ = max(found, key=lambda x: x[2])
-    heaviest = max(range(a, b), key=lambda i: weights[i])
-    region = lines[heaviest].region
-    if region:
-        return [i for i, x in enumerate(lines) if x.text and x.region == region and not x.hint]
-    around = {lines[i].container for i in range(a, b) if weights[i]}
+    top = lines[max(range(a, b), key=lambda i: weights[i])]
+    if top.main:
+        return [i for i in some if lines[i].main == top.main]
+    if top.region:
+        return [i for i in some if lines[i].region == top.region or top.beside and not lines[i].region and lines[i].container == top.beside]
+    heavy = [lines[i] for i in range(a, b) if weights[i]]
+    around, named, may = {x.container for x in heavy}, {n for x in heavy for n in x.named}, set(some)
     out = []
     for a, b, _, largest in found:
         filled = [i for i in range(a, b) if weights[i]]
         first, last = filled[0], filled[-1]
-        if lines[first].region or largest < surge and not {lines[first].container, lines[last].container} & around:
+        ends = lines[first], lines[last]
+        if ends[0].region or largest < surge and not any(x.container in around or named.issuperset(x.named) for x in ends):
             continue
         while first > 0 and lines[first - 1].text and lines[first - 1].container == lines[first].container:
             first -= 1
         while last + 1 < len(lines) and lines[last + 1].text and lines[last + 1].container == lines[last].container:
             last += 1
-        out += [i for i in range(max(first, out[-1] + 1 if out else 0), last + 1) if lines[i].text and not lines[i].hint and not lines[i].region]
+        out += [i for i in range(max(first, out[-1] + 1 if out else 0), last + 1) if i in may and not lines[i].region]
     return out
 
 
