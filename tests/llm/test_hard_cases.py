@@ -161,7 +161,7 @@ LONG = "A sentence of the article that is long enough. " * 6
         ("<div><p>{l}</p></div><nav>x</nav><div><p>A short closing sentence.</p></div>", "{l}\nA short closing sentence."),
         ("<section><p>{l}</p></section><aside>x</aside><section><p>End.</p></section>", "{l}\nEnd."),
         ("<div class=text><p>{l}</p><aside>x</aside><div><p>End.</p></div></div><nav>x</nav><div class=other><p>Gone.</p></div>", "{l}\nEnd."),
-        ('<div class="main-content-sidebar-wrapper"><p>{l}</p></div><div class=x><p>Short one.</p></div>', "{l}"),
+        ('<div class="main-content-sidebar-wrapper"><p>{l}</p></div><nav>x</nav><div class=x><p>Short one.</p></div>', "{l}"),
         ("<main><header><h1>Title</h1></header><p>{l}</p></main><header>Site</header>", "Title\n{l}"),
         ('<p>x <span aria-hidden="true">d</span> y {l}</p>', "x y {l}"),
         ('<p>x <span class="comment">d</span> y {l}</p>', "x d y {l}"),
