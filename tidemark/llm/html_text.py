@@ -97,7 +97,7 @@ def judged(attributes: str) -> str:
 
 @dataclass(slots=True)
 class Line:
-    """A block's text and its length without links; the article, main element, form and container that hold it, and the named containers around it."""
+    """A block's text and its length without links; the article, main element, form and container that hold it, and the chain of named containers around it."""
 
     text: str = ""
     weight: float = 0.0
@@ -107,7 +107,7 @@ class Line:
     main: int = 0
     form: int = 0
     beside: int = 0  # the container that holds the article
-    named: tuple[int, ...] = ()
+    named: tuple = ()  # (nearest named container, its chain)
 
 
 class Place(NamedTuple):
@@ -120,7 +120,7 @@ class Place(NamedTuple):
     form: int = 0
     container: int = 0
     beside: int = 0
-    named: tuple[int, ...] = ()
+    named: tuple = ()  # (nearest named container, its chain)
 
 
 class Stripper:
@@ -156,7 +156,7 @@ class Stripper:
         if tag in CONTAINERS and tag not in ("html", "body"):
             changed["container"] = self.number
             if named:
-                changed["named"] = (*at.named, self.number)
+                changed["named"] = (self.number, at.named)
         self.stack.append(at._replace(**changed))
         self.open[tag] += 1
         self.off += judgement == "off"
@@ -186,7 +186,7 @@ class Stripper:
                 self.flush()
                 while len(self.stack) > k:
                     self.pop()
-            elif below in LISTS or below in CONTAINERS or below in OFF_BLOCKS or below == "table":
+            elif below in LISTS or below in CONTAINERS or below in OFF_BLOCKS or below in ("table", "form"):
                 break
 
     def start(self, tag: str, attributes: str) -> None:
@@ -204,6 +204,8 @@ class Stripper:
         elif tag == "br":
             self.piece.append(" ")
         # an element within a judged one of its name is counted too, so that its end tag does not end the outer one
+        if tag == "form" and self.open["form"]:
+            return  # forms don't nest
         if tag not in VOID and (judgement or tag in CONTAINERS or tag in LISTS or tag in ("table", "form") or self.open[tag]):
             self.push(tag, judgement, tag in CONTAINERS and NAMED.search(attributes) is not None)
 
@@ -293,13 +295,18 @@ def kept_lines(lines: list[Line], window: int, surge: float) -> list[int]:
     if top.region:
         return [i for i in some if lines[i].region == top.region or top.beside and not lines[i].region and lines[i].container == top.beside]
     heavy = [lines[i] for i in range(a, b) if weights[i]]
-    around, named, may = {x.container for x in heavy}, {n for x in heavy for n in x.named}, set(some)
+    around, named, may = {x.container for x in heavy}, set(), set(some)
+    for x in heavy:
+        chain = x.named
+        while chain and chain[0] not in named:
+            named.add(chain[0])
+            chain = chain[1]
     out = []
     for a, b, _, largest in found:
         filled = [i for i in range(a, b) if weights[i]]
         first, last = filled[0], filled[-1]
         ends = lines[first], lines[last]
-        if ends[0].region or largest < surge and not any(x.container in around or named.issuperset(x.named) for x in ends):
+        if ends[0].region or largest < surge and not any(x.container in around or not x.named or x.named[0] in named for x in ends):
             continue
         while first > 0 and lines[first - 1].text and lines[first - 1].container == lines[first].container:
             first -= 1
