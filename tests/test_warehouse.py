@@ -63,11 +63,17 @@ def predictions(spark, n=3):
 
 
 @pytest.fixture(autouse=True)
-def few_tasks(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+def small_jobs(spark, request):
+    """Jobs of a few rows: one task each; and where there are hundreds, no code compiled for them."""
+    quick = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    if "between_any_two_steps" in request.node.name:
+        quick |= {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def load_star(spark, tmp, root):

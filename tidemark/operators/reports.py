@@ -41,8 +41,9 @@ def snapshots(preds: DataFrame, location: int | None = None, n: int = 50) -> Dat
     return runs.withColumn("is_latest", F.row_number().over(Window.orderBy(F.desc("prediction_made_at"))) == 1)  # over n rows
 
 
-def snapshot_values(preds: DataFrame, made_at: list, location: int | None = None) -> DataFrame:
-    rows = preds.where(F.col("prediction_made_at").isin(made_at))
+def snapshot_values(preds: DataFrame, runs: DataFrame | list, location: int | None = None) -> DataFrame:
+    """Mean predicted and actual values of the forecast runs in ``runs``: a table with ``prediction_made_at``, or a list of times."""
+    rows = preds.join(runs.select("prediction_made_at"), "prediction_made_at", "left_semi") if isinstance(runs, DataFrame) else preds.where(F.col("prediction_made_at").isin(runs))
     rows = rows if location is None else rows.where(F.col("location_id") == location)
     return rows.groupBy("target_time", "prediction_made_at").agg(F.avg("predicted_value").alias("predicted"), F.avg("actual_value").alias("actual")).orderBy("target_time", "prediction_made_at")
 

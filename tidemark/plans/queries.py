@@ -378,8 +378,14 @@ query("a14_error_metrics", DENSE[:7], f"SELECT {METRICS}")(lambda v: rounded(ev.
 query("a15_error_by_horizon", DENSE[:7], f"SELECT h_ahead, {METRICS} GROUP BY h_ahead")(lambda v: rounded(ev.error_metrics(v.filled().where("actual_value is not null"), "predicted_value", "actual_value", ["h_ahead"])))
 query("a10_prediction_summary", DENSE[:7], "SELECT count(*) AS n_rows, count(DISTINCT prediction_made_at) AS n_snapshots, count(actual_value) AS n_filled, max(prediction_made_at) AS latest FROM filled")(lambda v: rp.prediction_summary(v.filled()))
 query("a5_snapshots", DENSE[:7], "SELECT prediction_made_at, count(DISTINCT target_time) AS n_hours, prediction_made_at = (SELECT max(prediction_made_at) FROM filled) AS is_latest FROM filled GROUP BY 1 ORDER BY 1 DESC LIMIT 50")(lambda v: rp.snapshots(v.filled()))
-query("a4_snapshot_values", DENSE[:7], "SELECT target_time, prediction_made_at, round(avg(predicted_value), 6) AS predicted, round(avg(actual_value), 6) AS actual FROM filled WHERE prediction_made_at IN (SELECT DISTINCT prediction_made_at FROM filled ORDER BY 1 DESC LIMIT 5) GROUP BY 1, 2")(
-    lambda v: (lambda p: rp.snapshot_values(p, [r[0] for r in rp.snapshots(p, n=5).select("prediction_made_at").collect()]).select("target_time", "prediction_made_at", F.round("predicted", 6).alias("predicted"), F.round("actual", 6).alias("actual")))(v.filled()))
+@query("a4_snapshot_values", DENSE[:7], "SELECT target_time, prediction_made_at, round(avg(predicted_value), 6) AS predicted, round(avg(actual_value), 6) AS actual FROM filled WHERE prediction_made_at IN (SELECT DISTINCT prediction_made_at FROM filled ORDER BY 1 DESC LIMIT 5) GROUP BY 1, 2")
+def snapshot_values(v):
+    """The five newest runs."""
+    filled = v.filled()
+    values = rp.snapshot_values(filled, rp.snapshots(filled, n=5))
+    return values.select("target_time", "prediction_made_at", F.round("predicted", 6).alias("predicted"), F.round("actual", 6).alias("actual"))
+
+
 query("w8_best_groups", DENSE, "SELECT g.location_id, g.prediction_made_at, n_hours, round(mse, 6) AS mse, region, 6 AS seq_in FROM groups g JOIN dim_location USING (location_id) ORDER BY g.mse, g.location_id, g.prediction_made_at LIMIT 200")(
     lambda v: rp.best_groups(ev.score_groups(v.filled()), v.preds(), v.dim_location(v.dense())).select("location_id", "prediction_made_at", "n_hours", F.round("mse", 6).alias("mse"), "region", "seq_in"))
 query("j18_anchor_actual", DENSE[:6], "SELECT DISTINCT location_id, prediction_made_at, predicted_value AS anchor_value FROM preds")(
