@@ -201,3 +201,14 @@ def test_hot_partition_and_null_version(spark, tmp_path):
     for _ in range(2):
         jobs.append_predictions(house, rows)
     assert house.table("predictions").where("model_version is not null").count() == 496
+
+
+def test_partitions_of_odd_values_go(spark, tmp_path):
+    """A refresh drops partitions whatever their value is, files and all."""
+    house = Warehouse(spark, str(tmp_path), M)
+    rows = lambda *names: spark.createDataFrame([(1, i, 1.0, n) for i, n in enumerate(names)], "location_id long, time_id long, temperature_2m double, dataset string")
+    house.refresh("fact", rows(None, "it's", "a\\b", "x=y/z: 100%", "archive"))
+    assert house.table("fact").count() == 5
+    house.refresh("fact", rows("archive"))
+    assert [r["dataset"] for r in house.table("fact").collect()] == ["archive"]
+    assert [p.name for p in (tmp_path / "fact").glob("dataset=*")] == ["dataset=archive"]

@@ -24,6 +24,13 @@ from tidemark.sources.files import drop_folder, folder_exists
 from tidemark.sources.tables import star_tables
 
 
+def sql_text(value: object) -> str:
+    """A value of a partition as a literal."""
+    if value is None:
+        return "NULL"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Warehouse:
     """The tables of ``STAR`` under ``root``, in a database whose name follows from the root; the fact with ``measures``."""
 
@@ -119,10 +126,10 @@ class Warehouse:
 
     def _drop_partition(self, name: str, values: dict) -> None:
         self.step(f"drop partition of {name}")
-        spec = ", ".join(f"{k} = '{v}'" for k, v in values.items())
-        rows = self.spark.sql(f"DESCRIBE EXTENDED {self.database}.{name} PARTITION ({spec})").where("col_name = 'Location'").first()
+        spec = ", ".join(f"{k} = {sql_text(v)}" for k, v in values.items())
         self.spark.sql(f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION ({spec})")
-        drop_folder(self.spark, rows["data_type"])
+        named = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        drop_folder(self.spark, "/".join([self.root, name, *(named(k, None if v is None else str(v)) for k, v in values.items())]))
 
     def close(self) -> None:
         """Forget the tables in the catalog; their files stay."""
