@@ -107,6 +107,38 @@ def test_bad_hosts_are_rejected(spark):
     assert all(got[i] for i in range(90)) and not got[129]
 
 
+def kept_by_rules(rows):
+    """Positions of the rows (host, text) that the rules and the verdicts of their hosts leave, one host after the other."""
+    base, symbols, failed = [], [], defaultdict(list)
+    for host, text in rows:
+        words, chars, signs, doubled, lines, repeated = measure_text(text)
+        base.append(words < 50 or 100 * repeated > 50 * words)
+        symbols.append(signs * 100 > chars * 10)
+        failed[host].append(base[-1] or symbols[-1] or doubled * 100 > lines * 30)
+    rates = [sum(f) / len(f) for f in failed.values()]
+    m = sum(rates) / len(rates)
+    v = sum((r - m) ** 2 for r in rates) / len(rates)
+    k = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v else 1e6
+    shrunk = {h: (sum(f) + m * k) / (len(f) + k) for h, f in failed.items()}
+    strict = {h for h, r in shrunk.items() if r > m + (m * (1 - m) / (k + 1)) ** 0.5 / 2}
+    return {i for i, (host, _) in enumerate(rows) if not base[i] and shrunk[host] <= 0.6 and not (host in strict and symbols[i])}
+
+
+def test_hosts_that_stand_out_are_strict(spark):
+    good = " ".join(f"w{i}" for i in range(80))
+    signs = " ".join(f"w{i} $#%" for i in range(80))
+    lines = "\n".join([good] + ["a b"] * 30)
+    rows = [(f"ok{i % 9}", good) for i in range(90)] + [("ok1", signs), ("ok2", lines)]
+    rows += [("odd", signs)] * 5 + [("odd", lines)] + [("odd", good)] * 10 + [("bad", "junk")] * 40 + [("bad", good), (None, good), (None, signs), (None, None), ("", ""), ("", good)]
+    docs = spark.createDataFrame([(i, t, "en", h, 0) for i, (h, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert {i for i, r in got.items() if r["kept"]} == kept_by_rules(rows) and len(got) == len(rows)
+    assert got[90]["kept"] and not got[92]["kept"] and got[92]["host_strict"] and not got[92]["host_rejected"]
+    assert got[97]["kept"] and got[98]["kept"] and got[148]["host_rejected"] and not got[148]["kept"]
+    alike = quality_rules(docs.withColumn("source", F.lit("one"))).collect()
+    assert not any(r["host_strict"] or r["host_rejected"] for r in alike)
+
+
 # ---- 3
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -355,8 +387,8 @@ def test_pipeline(spark, texts):
         docs = stage(spark, docs, SF).cache()
         assert docs.columns == cp.COLUMNS
         kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
-    base = {i for i, t in texts.items() for m in [measure_text(t)] if m[0] >= 50 and 100 * m[5] <= 50 * m[0]}
-    assert set(kept["quality_rules"]) == base
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert set(kept["quality_rules"]) == {rows[i][0] for i in kept_by_rules([r[1:] for r in rows])}
     groups = brute_groups({i: plain_simhash(t) for i, t in kept["line_dedup"].items()})
     assert set(kept["simhash_near_dedup"]) == {i for i, c in groups.items() if i == c}
     leaks = {r["doc_id"] for r in find_leaks(docs, bench).collect()}

@@ -3,7 +3,9 @@
 Every document is measured once (words, symbols, repeated lines, repeated word windows).  Rule
 failures are then aggregated per host, each host's failure rate is shrunk towards the corpus with
 an empirical beta prior (method of moments over the hosts), and the host's verdict is joined back
-to its documents.
+to its documents: a rejected host loses all of them, and a strict host, one that stands out from the
+prior, those that fail the symbol rule.  Repeated lines count towards a host's rate alone, as texts
+with many of them are often fine once the lines are removed.
 
 Cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated
 rows are measured and counted each; an empty table gives an empty result; columns of ``docs`` other
@@ -12,6 +14,7 @@ than the named ones are not touched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,18 +65,20 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text:
 
 
 def with_rules(measures: DataFrame, min_words: int = 50, max_repeat: int = 50, max_symbols: int = 10, max_dup_lines: int = 30) -> DataFrame:
-    """``base_failed`` and ``rule_failed`` (base or soft rules); the limits are percentages."""
+    """``base_failed``, ``symbols_failed`` and ``rule_failed`` (any rule); the limits are percentages."""
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
-    soft = (F.col("n_symbols") * 100 > F.col("word_chars") * max_symbols) | (F.col("n_dup_lines") * 100 > F.col("n_lines") * max_dup_lines)
-    return measures.withColumn("base_failed", base).withColumn("rule_failed", base | soft)
+    symbols = F.col("n_symbols") * 100 > F.col("word_chars") * max_symbols
+    lines = F.col("n_dup_lines") * 100 > F.col("n_lines") * max_dup_lines
+    return measures.withColumns({"base_failed": base, "symbols_failed": symbols, "rule_failed": base | symbols | lines})
 
 
-def host_verdicts(judged: DataFrame, max_rate: float = 0.6, min_strength: float = 1.0, max_strength: float = 1e6) -> DataFrame:
-    """(host, n_docs, n_failed, fail_rate, host_rejected) of ``salted`` rows: failure rates shrunk with a beta prior.
+def host_verdicts(judged: DataFrame, max_rate: float = 0.6, strict_from: float = 0.5, min_strength: float = 1.0, max_strength: float = 1e6) -> DataFrame:
+    """(host, n_docs, n_failed, fail_rate, host_rejected, host_strict) of ``salted`` rows: failure rates shrunk with a beta prior.
 
     The prior's mean m and strength k come from the mean and variance of the hosts' raw rates,
     k = m (1 - m) / v - 1, kept within [min_strength, max_strength]; the shrunk rate of a host is
-    (failed + m k) / (n + k).  Hosts are counted by partial aggregation, so a hot host is one row
+    (failed + m k) / (n + k).  A host is rejected above ``max_rate``, and strict above m plus
+    ``strict_from`` deviations of the prior, sqrt(m (1 - m) / (k + 1)).  Hosts are counted by partial aggregation, so a hot host is one row
     per task before the shuffle.
     """
     hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed"), salts_seen())
@@ -82,10 +87,11 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.6, min_strength: float
     m, v = (row["m"] or 0.0), (row["v"] or 0.0)
     k = min(max(m * (1 - m) / v - 1, min_strength), max_strength) if v > 0 else max_strength
     shrunk = (F.col("n_failed") + F.lit(m * k)) / (F.col("n_docs") + F.lit(k))
-    return hosts.withColumn("fail_rate", shrunk).withColumn("host_rejected", F.col("fail_rate") > max_rate)
+    limit = m + strict_from * math.sqrt(m * (1 - m) / (k + 1))
+    return hosts.withColumn("fail_rate", shrunk).withColumns({"host_rejected": F.col("fail_rate") > max_rate, "host_strict": F.col("fail_rate") > limit})
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_rate: float = 0.6) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_rate: float = 0.6, strict_from: float = 0.5) -> DataFrame:
     """Measures, base verdict and final verdict (``kept``) of every document.
 
     The measures (no texts) are written once and used twice: to judge the hosts and to be joined
@@ -93,5 +99,5 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     both sides are joined by host and salt, so that a hot host is dealt over many tasks.
     """
     judged = salted(materialize(with_rules(measure(docs, doc_id, host, text)), "quality-measures"), "doc_id", *MEASURES)
-    out = join_groups(judged, host_verdicts(judged, max_rate), "host")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    out = join_groups(judged, host_verdicts(judged, max_rate, strict_from), "host")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~(F.col("host_strict") & F.col("symbols_failed")))

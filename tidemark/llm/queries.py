@@ -39,7 +39,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected", "host_strict")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,16 +144,16 @@ words AS (
 ), based AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
 ), ruled AS (
-  SELECT *, base_failed OR n_symbols * 100 > word_chars * 10 OR n_dup_lines * 100 > n_lines * 30 AS rule_failed FROM based
+  SELECT *, n_symbols * 100 > word_chars * 10 AS symbols_failed, base_failed OR n_symbols * 100 > word_chars * 10 OR n_dup_lines * 100 > n_lines * 30 AS rule_failed FROM based
 ), hosts AS (
   SELECT source, count(*) AS n, sum(rule_failed::INT) AS failed FROM ruled GROUP BY source
 ), prior AS (
   SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS k
   FROM (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts)
 ), verdicts AS (
-  SELECT source, (failed + m * k) / (n + k) > 0.6 AS host_rejected FROM hosts, prior
+  SELECT source, (failed + m * k) / (n + k) > 0.6 AS host_rejected, (failed + m * k) / (n + k) > m + 0.5 * sqrt(m * (1 - m) / (k + 1)) AS host_strict FROM hosts, prior
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, host_rejected
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AND NOT (host_strict AND symbols_failed) AS kept, host_rejected, host_strict
 FROM ruled JOIN verdicts ON ruled.source IS NOT DISTINCT FROM verdicts.source
 """
 
