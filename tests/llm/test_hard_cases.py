@@ -313,3 +313,26 @@ def test_near_copies_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 2)
     monkeypatch.setattr(similar, "PIVOTS", 0)
     base.test_near_copies_by_brute_force(spark, {})
+
+
+def test_lists_are_merged_without_copies_of_them_all():
+    """Peak of a merge, beside the numbers that come in: before, every list was held some eight times."""
+    import tracemalloc
+
+    from tidemark.llm import lm_score as lm
+
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 60, 10_000, np.uint64)
+    grams = [np.unique(np.concatenate([common, rng.integers(0, 1 << 60, 10_000, np.uint64)])) for _ in range(100)]
+    counts = [rng.integers(1, 9, len(g)) for g in grams]
+    counts[0][0] = 1 << 40
+    lists = lm.pa.table([[0] * 100, list(range(100)), [lm._planes(np.diff(g, prepend=np.uint64(0))) for g in grams], [lm._planes(c) for c in counts]], schema=lm.LISTS)
+    tracemalloc.start()
+    distinct, sums, places = lm._merged(lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    plain, place = np.unique(np.concatenate(grams), return_inverse=True)
+    assert np.array_equal(distinct, plain) and np.array_equal(np.concatenate(places), place)
+    assert np.array_equal(sums, np.bincount(place, np.concatenate(counts)).astype(np.int64))
+    print(f"peak {peak / place.nbytes:.1f} times the n-grams")
+    assert peak < 4 * place.nbytes

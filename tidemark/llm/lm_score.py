@@ -114,13 +114,39 @@ def _lists(buckets: int):
     return run
 
 
+#: N-grams that are sorted at a time where lists are merged.
+MERGE = 1 << 18
+
+
 def _merged(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The distinct n-grams of some lists (sorted), their sums, and where each list's n-grams stand among them."""
+    """The distinct n-grams of some lists (sorted), their sums, and where each list's n-grams stand among them.
+
+    The lists are sorted, so they are merged range by range, and a range's places are written over its n-grams:
+    beside the lists no more than a range is held several times.
+    """
     grams = [np.cumsum(_numbers(x.as_py()), dtype=np.uint64) for x in lists.column("grams")]
-    counts = np.concatenate([_numbers(x.as_py()) for x in lists.column("counts")])
-    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
-    sums = np.bincount(place, counts).astype(np.int64)
-    return distinct, sums, np.split(place, np.cumsum([len(x) for x in grams])[:-1])
+    counts = [_numbers(x.as_py()) for x in lists.column("counts")]
+    counts = [c.astype(np.uint32) if c.max() < 1 << 32 else c for c in counts]
+    cuts = _range_cuts(grams)
+    distinct, sums, known = [], [], 0
+    for at, to in zip(cuts, cuts[1:]):
+        some, place = np.unique(np.concatenate([g[a:b] for g, a, b in zip(grams, at, to)]), return_inverse=True)
+        sums.append(np.bincount(place, np.concatenate([c[a:b] for c, a, b in zip(counts, at, to)]), len(some)).astype(np.int64))
+        distinct.append(some)
+        place += known
+        known += len(some)
+        for g, a, b, part in zip(grams, at, to, np.split(place, np.cumsum(to - at)[:-1])):
+            g[a:b] = part.view(np.uint64)
+    return np.concatenate(distinct), np.concatenate(sums), [g.view(np.int64) for g in grams]
+
+
+def _range_cuts(grams: list[np.ndarray]) -> list[np.ndarray]:
+    """Where each sorted list is cut, for ranges that hold about ``MERGE`` n-grams of all lists together."""
+    ranges = -(-sum(map(len, grams)) // MERGE)
+    longest = max(grams, key=len)  # hashes are even, so one list's quantiles are those of all
+    edges = longest[np.arange(1, ranges) * len(longest) // ranges]
+    inner = [np.searchsorted(g, edges) for g in grams]
+    return [np.zeros(len(grams), np.int64), *np.array(inner, np.int64).reshape(len(grams), len(edges)).T, np.array([len(g) for g in grams], np.int64)]
 
 
 def _totals(lists: pa.Table, whole: np.ndarray, places: list[np.ndarray]) -> pa.Table:
