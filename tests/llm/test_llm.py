@@ -448,6 +448,37 @@ def test_near_copies_by_brute_force(spark, texts):
     assert similar_groups(frame(spark, some).limit(0), "doc_id").count() == 0
 
 
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    from tidemark.llm import similar
+
+    bases = [[f"s{k}w{i}" for i in range(20 + 9 * k)] for k in range(30)]
+    some = [" ".join(w) for w in bases] + [" ".join(w[:-1] + ["else"]) for w in bases] + ["a b c d e f g h", "a b c d e f g h i"]
+    prints = [similar.fingerprint(similar.shingle_set(t)) for t in some]
+    for t, p in zip(some, prints):  # the first word is the plain majority of mixed hashes
+        h = similar.shingle_set(t) * similar.FACTORS[0]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        assert int(p[0]) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+    bits = np.array(prints)
+    near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=int) <= similar.RADIUS
+    links = similar.cell_links(bits, similar.RADIUS)
+    assert all(near[a, b] for a, b in links) and brute_roots(len(bits), links) == brute_roots(len(bits), list(zip(*np.nonzero(near))))
+    groups = lambda: len({r["group"] for r in similar.similar_groups(frame(spark, some), "doc_id").collect()})
+    assert groups() == len(some) - 31
+    monkeypatch.setattr(similar, "CELL", 7)
+    assert groups() == len(some) - 31
+    monkeypatch.setattr(similar, "RADIUS", 0)  # no other way leads to a link
+    assert groups() == len(some)
+
+
+def brute_roots(n, links):
+    root = list(range(n))
+    for a, b in links:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    return root
+
+
 def test_verdicts_belong_to_rows(spark):
     import corpus_pipeline as cp
 
