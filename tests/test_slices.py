@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
 from tidemark.operators import reports as rp
+from tidemark.operators import samples as sm
 from tidemark.operators import slices as sl
 from tidemark.plans import jobs
 from tidemark.sources import tables as tb
@@ -63,3 +64,13 @@ def test_job_cuts_long_series(spark, series, tmp_path):
     for name, size in (("plain", 1000), ("cut", 50)):
         jobs.silver_to_gold(spark, f"{tmp_path}/silver", f"{tmp_path}/{name}", "v", ["place", "dataset"], size)
     assert rows_of(tb.read_layer(spark, f"{tmp_path}/cut")) == rows_of(tb.read_layer(spark, f"{tmp_path}/plain"))
+
+
+def test_ranges_do_not_follow_slices(spark, monkeypatch):
+    """Of each range the driver gets a sample, so small slices must not make many ranges."""
+    made, plain = [], sm.ranges_in_order
+    monkeypatch.setattr(sm, "ranges_in_order", lambda *a: made.append(out := plain(*a)) or out)
+    df = spark.range(5000).select(F.lit("x").alias("place"), F.col("id").alias("t"))
+    sliced = sl.in_slices(df, ["place"], ["t"], 10)
+    assert sliced.where("_pos <> t or _slice <> t div 10").count() == 0 and sliced.count() == 5000
+    assert made[0][1].count() <= 2
